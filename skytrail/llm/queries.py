@@ -1,11 +1,17 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from skytrail.llm import line_dedup
+from skytrail.llm import line_dedup, pieces, sharding, tiff, token_counts, warc
 
 QUERIES = {
+    "op2_tiff_pages": tiff.query,
+    "op3_lpt_shards": sharding.query,
+    "op6_warc_zip": warc.query,
+    "op8_sentencepiece": pieces.query,
+    "op9_token_counts": token_counts.query,
     "op10_line_dedup": line_dedup.query,
 }
 
 ORACLE_SQL = {
+    "op6_warc_zip": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
