@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from skytrail.llm import line_dedup, pieces, sharding, tiff, token_counts, warc
+from skytrail.llm import jaccard_join, line_dedup, pieces, sharding, tiff, token_counts, warc
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.query,
     "op2_tiff_pages": tiff.query,
     "op3_lpt_shards": sharding.query,
     "op6_warc_zip": warc.query,
