@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from skytrail.llm.common import bounded_batches, table
 
 SPACE = "▁"  # stands for a space in pieces
-CACHE = 150_000  # chunks whose ids a worker remembers
+CACHE = 300_000  # chunks whose ids a worker remembers
 CACHED_CHARS = 48
 
 
@@ -156,21 +156,25 @@ class Encoder:
         self.sizes = np.array([1 if k == 6 else len(n.encode()) for k, n in zip(kinds, names, strict=True)], np.int64)
         usual = [n for k, n in zip(kinds, names, strict=True) if k in (1, 4)]
         newline = self.sp.piece_to_id("<0x0A>")
-        self.space = self.sp.piece_to_id(SPACE)
         # Pieces that hold no space after another character, and no line end, cannot cross from one
         # chunk (spaces and a word) into the next; chunks can then be encoded apart and remembered.
         n = self.normalizer
-        self.chunks = 4 not in kinds and n.dummy_prefix and n.escape and not n.squeeze and not n.map.units and all(SPACE not in x.lstrip(SPACE) and "\n" not in x for x in usual) and self.sp.encode("\n") == [self.space, newline]
+        self.chunks = 4 not in kinds and n.dummy_prefix and n.escape and not n.squeeze and not n.map.units and all(SPACE not in x.lstrip(SPACE) and "\n" not in x for x in usual) and self.sp.encode("\n") == [self.sp.piece_to_id(SPACE), newline]
         self.newline = newline
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
     CHUNK = re.compile(r" *[^ \n]+| +|\n")
 
     def learn(self, chunks: list[str]) -> None:
-        ask = [c[1:] if c[0] == " " else "\n" + c for c in chunks]
-        for c, ids in zip(chunks, self.sp.encode(ask), strict=True):
-            ids = tuple([self.newline] if c == "\n" else [self.space] if c == " " else ids if c[0] == " " else ids[2:])
-            self.known[c] = ids, ",".join(map(str, ids))
+        """Encodes the chunks, which hold no line end, as the lines of one text after an empty line."""
+        ids = np.array(self.sp.encode("\n" + "\n".join(chunks)), np.int64)
+        cuts = np.flatnonzero(ids == self.newline)
+        if len(cuts) != len(chunks):
+            raise ValueError("a line end was lost")
+        flat, edges = ids.tolist(), [*cuts.tolist(), len(ids)]
+        for c, s, e in zip(chunks, edges[:-1], edges[1:], strict=True):
+            part = tuple(flat[s + 1 : e])
+            self.known[c] = part, ",".join(map(str, part))
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and their decimals joined by commas."""
@@ -183,6 +187,7 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known.clear()
         known = self.known
+        known["\n"] = (self.newline,), str(self.newline)
         if new := [c for c in set(chunks) if c not in known]:
             self.learn(new)
         found = [known[c] for c in chunks]
