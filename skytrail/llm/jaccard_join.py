@@ -6,7 +6,8 @@
 3. Index: each set's rarest shingles (a prefix that no set within the threshold can miss) make
    inverted lists, sorted into blocks by set size and position.  A whole block is skipped if its
    sizes, its positions or its component can add nothing.
-4. The few pairs that remain, each over two components, are checked exactly.
+4. Pairs that remain, each over two components, must pass a bound on their symmetric difference (the
+   parity of the shingles in each of some slots), and are then checked exactly on whole sets.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from skytrail.llm.shingles import mix, shingle_sets
 WORDS, NUM, DEN = 4, 85, 100
 KEYS, KEYS_EQUAL, GROUPED = 6, 4, 3
 _PERM = np.random.default_rng(7).integers(1, 2**63, KEYS, dtype=np.uint64) | np.uint64(1)
-#: Counters of the sketch that orders shingles by frequency; it is broadcast, a byte for each.
-SKETCH_BITS = 20
+#: The sketch that orders shingles by frequency has a one-byte counter for each 64 bytes of input, in
+#: a power of two up to this one; it is broadcast.
+SKETCH_BITS = 24
 #: Longer lists are cut into blocks that are paired in tasks of their own.
 LIST_ROWS = 100_000
 
@@ -40,15 +42,35 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
+def parities(h: np.ndarray) -> bytes:
+    """Whether each slot has an odd number of the hashes; at least 0.6 slots a hash, a power of two."""
+    size = max(64, 1 << int(0.6 * len(h) - 1e-9).bit_length())
+    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference; the longer map is folded onto the shorter one."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0) ^ b).sum())
+
+
+PROFILE = ["id", "n", "fp1", "fp2", "keys", "slots", "counts"]
+
+
 def profiles(words: int, sketch_bits: int):
-    """A row a document: id, n, fp1, fp2 and min-hash keys; and a row a task: its shingle counts."""
+    """A row a document: id, n, fp1, fp2, min-hash keys and parities; and a row a task: its shingle
+    counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(1 << sketch_bits, np.uint32), [], 0
+        counts, waiting, size = np.zeros(1 << sketch_bits, np.uint8), [], 0
 
         def count() -> None:
             if waiting:
-                counts[:] += np.bincount(np.concatenate(waiting), minlength=len(counts)).astype(np.uint32)
+                at, n = np.unique_counts(np.concatenate(waiting))
+                counts[at] = np.minimum(counts[at] + n, 255)
                 waiting.clear()
 
         for b in batches:
@@ -67,42 +89,59 @@ def profiles(words: int, sketch_bits: int):
                     if size > 2_000_000:
                         count()
                         size = 0
+                slots = [parities(h[x:y]) if y > x else None for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(_signed(np.ascontiguousarray(cols[2:].T).ravel())), KEYS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), pa.array(_signed(cols[0])), pa.array(_signed(cols[1])), keys, pa.nulls(hi - lo, pa.binary())], ["id", "n", "fp1", "fp2", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), pa.array(_signed(cols[0])), pa.array(_signed(cols[1])), keys, pa.array(slots, pa.binary()), pa.nulls(hi - lo, pa.binary())], PROFILE)
         count()
         if counts.any():
             packed = zlib.compress(counts.tobytes(), 1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), *(pa.array([0]) for _ in range(2)), pa.array([None], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["id", "n", "fp1", "fp2", "keys", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), *(pa.array([0]) for _ in range(2)), pa.array([None], pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], PROFILE)
+
+    return run
+
+
+def add_counts(sketch_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _added(batches, sketch_bits)
 
     return run
 
 
-def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _added(batches: Iterator[pa.RecordBatch], sketch_bits: int) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:
         for x in b.column(0).to_pylist():
-            c = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64)
-            total = c if total is None else total + c
+            c = zlib.decompress(x)
+            c = np.frombuffer(c, np.uint32 if len(c) == 4 << sketch_bits else np.uint8)
+            total = c.astype(np.uint32) if total is None else total + np.minimum(c, 2**32 - 1 - total)
     if total is not None:
-        packed = zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)
+        packed = zlib.compress(total.tobytes(), 1)
         yield pa.RecordBatch.from_arrays([pa.array([packed], pa.binary())], ["counts"])
 
 
-def frequency_levels(rows: DataFrame, tasks: int) -> bytes:
+def sketch_size(docs: DataFrame, most: int) -> int:
+    """Bits of a sketch with a counter for each 64 bytes of the input files, as the plan knows them."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(min(16, most), min(most, (size // 64).bit_length()))
+
+
+def frequency_levels(rows: DataFrame, tasks: int, sketch_bits: int) -> bytes:
     """A byte a counter: 0 for ordinary shingles, else the logarithm of how far above the mean it is.
 
     Counts cover all documents.  Partial counts are added up in a tree, 32 at a time, so that one
     array of fixed size is all that comes to the driver.
     """
-    while tasks > 1:
+    while True:
         tasks = -(-tasks // 32)
-        rows = rows.repartition(tasks).mapInArrow(add_counts, "counts binary")
-        rows = stash(rows, "counts") if tasks > 1 else rows
+        rows = rows.repartition(tasks).mapInArrow(add_counts(sketch_bits), "counts binary")
+        if tasks == 1:
+            break
+        rows = stash(rows, "counts")
     got = rows.collect()
     if not got:
         return b""
-    total = np.frombuffer(zlib.decompress(got[0][0]), np.uint32).astype(float)
-    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / max(total.mean(), 1) / 1.2)) + 1).astype(np.uint8).tobytes()
+    total = np.frombuffer(zlib.decompress(got[0][0]), np.uint32).astype(np.float32)
+    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / max(float(total.mean()), 1) / 1.2)) + 1).astype(np.uint8).tobytes()
 
 
 def prefixes(words: int, num: int, den: int, sketch_bits: int, levels):
@@ -276,12 +315,26 @@ def linked(num: int, den: int):
     return run
 
 
-def verified(texts: DataFrame, pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The written pairs (a, b) whose whole sets are within the threshold.  Only sets that are in a
-    pair are made again and shuffled."""
+def possible(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, _, na, nb, sa, sb = (c.to_pylist() for c in b.columns)
+            keep = [differ(x, y) * (den + num) <= (m + n) * (den - num) for m, n, x, y in zip(na, nb, sa, sb, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
+
+    return run
+
+
+def verified(texts: DataFrame, pairs: DataFrame, nodes: DataFrame, repeated: bool, words: int, num: int, den: int) -> DataFrame:
+    """The written pairs (a, b) whose whole sets are within the threshold.  Whole sets are made again
+    and shuffled only for pairs that parities do not rule out."""
+    slots = nodes.select("id", "n", "slots")
+    both = pairs.join(slots.toDF("a", "na", "sa"), "a").join(slots.toDF("b", "nb", "sb"), "b")
+    pairs = stash(both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible(num, den), "a long, b long"), "possible")
     ids = stash(pairs.select("a").union(pairs.select("b")).distinct().toDF("id"), "ids")
     some = texts.join(small(ids, ids.count()), "id", "left_semi").select("id", "text")
-    toks = stash(some.mapInArrow(token_rows(words), "id long, toks binary").dropDuplicates(["id"]), "toks")
+    some = some.dropDuplicates(["id"]) if repeated else some
+    toks = stash(some.mapInArrow(token_rows(words), "id long, toks binary"), "toks")
     joined = pairs.join(toks.toDF("a", "ta"), "a").join(toks.toDF("b", "tb"), "b")
     return stash(joined.select("a", "b", "ta", "tb").mapInArrow(linked(num, den), "a long, b long"), "links")
 
@@ -297,16 +350,20 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    base = stash(texts.mapInArrow(profiles(words, sketch_bits), "id long, n long, fp1 long, fp2 long, keys array<long>, counts binary"), "profiles")
+    sketch_bits = sketch_size(texts, sketch_bits)
+    base = stash(texts.mapInArrow(profiles(words, sketch_bits), "id long, n long, fp1 long, fp2 long, keys array<long>, slots binary, counts binary"), "profiles")
     partial = base.filter("counts is not null").select("counts")
-    levels = spark.sparkContext.broadcast(frequency_levels(partial, max(1, partial.count())))
+    levels = spark.sparkContext.broadcast(frequency_levels(partial, max(1, partial.count()), sketch_bits))
     base = base.filter("counts is null")
 
     copies = base.filter("n > 0 and id is not null").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last").drop("last")
     copies = stash(copies, "copies")
     sets = base.join(small(copies, copies.count()), ["fp1", "fp2", "n"], "left")
-    sets = stash(sets.select("id", "n", F.coalesce("rep", "id").alias("rep"), F.when((F.col("n") > 0) & F.coalesce(F.col("rep") == F.col("id"), F.lit(True)), F.col("keys")).alias("keys")), "sets")
-    nodes = sets.filter("keys is not null and id is not null").dropDuplicates(["id"])
+    leads = (F.col("n") > 0) & F.col("id").isNotNull() & F.coalesce(F.col("rep") == F.col("id"), F.lit(True))
+    sets = stash(sets.select("id", "n", F.coalesce("rep", "id").alias("rep"), *[F.when(leads, F.col(c)).alias(c) for c in ("keys", "slots")]), "sets")
+    nodes = sets.filter("keys is not null")
+    repeated = not nodes.groupBy("id").count().filter("count > 1").isEmpty()
+    nodes = nodes.dropDuplicates(["id"]) if repeated else nodes
 
     # Hubs: the smallest id of each min-hash group; only sets that agree with it in most keys.
     grouped = nodes.select("id", "n", "keys", F.posexplode(F.slice("keys", 1, GROUPED)).alias("slot", "key"))
@@ -314,7 +371,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     near = grouped.join(hubs, ["slot", "key"]).filter(F.col("id") != F.col("hub.id"))
     near = near.filter((den * F.least("n", "hub.n") >= num * F.greatest("n", "hub.n")) & (F.aggregate(F.zip_with("keys", "hub.keys", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= KEYS_EQUAL))
     star = stash(near.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "star")
-    first = verified(texts, star, words, num, den)
+    first = verified(texts, star, nodes, repeated, words, num, den)
     joined = stash(components(first), "hubs")
 
     part = nodes.select("id").join(small(joined, joined.count()), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
@@ -327,7 +384,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     far = x.join(y, "tok").filter(f"x_seq <= y_seq and {den} * x_hi >= {num} * y_lo").select("x_block", "y_block", F.expr("x_seq = y_seq").alias("same"))
     spread = far.repartition(F.xxhash64("x_block", "y_block")).mapInArrow(block_join(num, den), FOUND_DDL)
     pairs = stash(found.filter("block is null").select("a", "b").union(spread.select("a", "b")).distinct(), "pairs")
-    second = verified(texts, pairs, words, num, den)
+    second = verified(texts, pairs, nodes, repeated, words, num, den)
     final = stash(components(first.union(second)).toDF("rep", "comp"), "components")
     out = sets.join(small(final, final.count()), "rep", "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
