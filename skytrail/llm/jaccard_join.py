@@ -345,7 +345,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
     Empty and null texts have no shingles and link with nothing; shorter texts than a shingle are
     one shingle.  Documents of equal sets link.  doc_id tells documents apart: rows that repeat one
-    repeat its result; rows with a null id are linked with nothing and keep a null component.
+    repeat its result; rows with a null id have the component of documents of an equal set, else null.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -205,19 +205,16 @@ def dropped_lines(docs: DataFrame, rows_per_probe: int = 4_000_000) -> DataFrame
 
 
 def apply_drops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces text by the kept lines; appends n_lines and n_dropped."""
+    """(row, text, drops) to (row, kept text, n_lines, n_dropped)."""
     for batch in batches:
-        at = batch.schema.get_field_index("_text")
         texts, n_lines, n_dropped = [], [], []
-        for text, drops in zip(batch.column(at).to_pylist(), batch.column("_drops").to_pylist(), strict=True):
+        for text, drops in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             lines = (text or "").split("\n")
             gone = set(drops or ())
             n_lines.append(len(lines))
             n_dropped.append(len(gone))
             texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text)
-        cols = [c for i, c in enumerate(batch.columns) if batch.schema.names[i] not in ("_text", "_drops")]
-        names = [n for n in batch.schema.names if n not in ("_text", "_drops")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "_text", "_n_lines", "_n_dropped"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["row", "text", "n_lines", "n_dropped"])
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -229,15 +226,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     Repeated rows are one document.  Other columns pass unchanged.
     """
     drops = stash(dropped_lines(docs), "drops")
-    n = drops.count()
-    t = F.crc32(F.col("text").cast("string").cast("binary"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_t": t})
-    joined = keyed.join(small(drops.toDF("_id", "_t", "_drops"), n), ["_id", "_t"], "left").drop("_id", "_t")
-    others = [c for c in docs.columns if c != "text"]
-    joined = joined.select(*[F.col(c) for c in others], F.col("text").cast("string").alias("_text"), "_drops")
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema if f.name not in ("_text", "_drops"))
-    out = joined.mapInArrow(apply_drops, kept + "_text string, _n_lines long, _n_dropped long")
-    return out.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")
+    text = F.col("text").cast("string")
+    # The row travels as one struct, so that its columns may have any names.
+    keyed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("t"))
+    joined = keyed.join(small(drops, drops.count()), ["id", "t"], "left").select("row", "text", "drops")
+    out = joined.mapInArrow(apply_drops, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
+    kept = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*kept, F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,9 +131,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     order = stash(interleave(docs, weights), "order")
     n = order.count()
     places = order.select(source_key().alias("_k"), F.col("doc_id").alias("_id"), F.col("position").alias("_position"))
-    rows = docs.withColumns({"_k": source_key(), "_d": F.col("doc_id").cast("long")})
-    joined = rows.join(small(places, n), (rows["_k"] == places["_k"]) & rows["_d"].eqNullSafe(places["_id"]))
-    return joined.repartitionByRange("_position").sortWithinPartitions("_position").select(*[rows[c] for c in docs.columns])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), source_key().alias("k"), F.col("doc_id").cast("long").alias("d"))
+    joined = rows.join(small(places, n), (rows["k"] == places["_k"]) & rows["d"].eqNullSafe(places["_id"]))
+    return joined.select("row", "_position").repartitionByRange("_position").sortWithinPartitions("_position").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
