@@ -145,8 +145,8 @@ def frequency_levels(rows: DataFrame, tasks: int, sketch_bits: int) -> bytes:
 
 
 def prefixes(words: int, num: int, den: int, sketch_bits: int, levels):
-    """(id, n, toks): the shingles of each set that come first by (frequency level, hash), as many as
-    needed for two sets within the threshold to share one."""
+    """(id, n, p0, p1, toks): the shingles of each set that come first by (frequency level, hash), as
+    many as needed for two sets within the threshold to share one; and parities of 128 slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
@@ -155,6 +155,11 @@ def prefixes(words: int, num: int, den: int, sketch_bits: int, levels):
                 n = np.diff(bounds)
                 lv = level[(h >> np.uint64(64 - sketch_bits)).astype(np.int64)] if len(h) else np.zeros(0, np.uint8)
                 parts, sizes = [], np.zeros(hi - lo, np.int64)
+                odd = np.zeros((2, hi - lo), np.uint64)
+                if len(h):
+                    bit, upper = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) != 0
+                    for k in (0, 1):
+                        odd[k, n > 0] = np.bitwise_xor.reduceat(np.where(upper == bool(k), bit, np.uint64(0)), bounds[:-1][n > 0])
                 for i in np.flatnonzero(n):
                     s, e = bounds[i], bounds[i + 1]
                     p = int(n[i] - -(-num * n[i] // den) + 1)
@@ -165,7 +170,7 @@ def prefixes(words: int, num: int, den: int, sketch_bits: int, levels):
                     sizes[i] = p
                 flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
                 toks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(_signed(flat)))
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), toks], ["id", "n", "toks"])
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(n), pa.array(_signed(odd[0])), pa.array(_signed(odd[1])), toks], ["id", "n", "p0", "p1", "toks"])
 
     return run
 
@@ -176,9 +181,11 @@ def block_pairs(cols: list[np.ndarray], num: int, den: int, left: int | None = N
 
     Every entry has a pointer into its list.  Blocks are runs of one size; an entry is done when sizes
     are too far apart or its own position leaves too few shingles, and jumps over the rest of a block
-    when the block's positions (they rise) or its single component rule the rest out.
+    when the block's positions (they rise) or its single component rule the rest out.  A pair that is
+    left must also pass the bound that the entries' parities give.
     """
-    tok, n, pos, comp, ids = cols
+    tok, n, pos, comp, ids, *odd = cols
+    odd = [x.view(np.uint64) for x in odd]
     size = len(tok)
     new = np.ones(size + 1, bool)
     new[1:-1] = (tok[1:] != tok[:-1]) | (n[1:] != n[:-1])
@@ -197,14 +204,16 @@ def block_pairs(cols: list[np.ndarray], num: int, den: int, left: int | None = N
         i, j, nj, need = i[keep], j[keep], nj[keep], need[keep]
         late = pos[j] > nj - need
         same = only[block[j]] & (comp[i] == comp[j])
-        hit = ~late & (comp[i] != comp[j])
-        if hit.any():
+        hit = np.flatnonzero(~late & (comp[i] != comp[j]))
+        apart = sum(np.bitwise_count(x[i[hit]] ^ x[j[hit]]).astype(np.int64) for x in odd)
+        hit = hit[apart * (den + num) <= (n[i[hit]] + nj[hit]) * (den - num)]
+        if len(hit):
             a, b = ids[i[hit]], ids[j[hit]]
             yield np.stack((np.minimum(a, b), np.maximum(a, b)))
         j = np.where(late | same, ends[j], j + 1)
 
 
-ENTRY = ["tok", "n", "pos", "comp", "id"]
+ENTRY = ["tok", "n", "pos", "comp", "id", "p0", "p1"]
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tok", pa.int64()), ("seq", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("block", pa.binary())])
 FOUND_DDL = "a long, b long, tok long, seq long, lo long, hi long, block binary"
 
@@ -235,7 +244,7 @@ def list_pairs(num: int, den: int, list_rows: int):
     blocks instead, for block_join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 5
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * len(ENTRY)
         long_tok, seq = None, 0
 
         def cut(cols: list[np.ndarray]) -> pa.RecordBatch:
@@ -283,7 +292,7 @@ def block_join(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y, same in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x, y = (np.frombuffer(v, np.int64).reshape(5, -1) for v in (x, y))
+                x, y = (np.frombuffer(v, np.int64).reshape(len(ENTRY), -1) for v in (x, y))
                 cols = list(x) if same else list(np.concatenate((x, y), axis=1))
                 yield from _emit(block_pairs(cols, num, den, None if same else x.shape[1]))
 
@@ -376,9 +385,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
     part = nodes.select("id").join(small(joined, joined.count()), "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
     part = stash(part, "part")
-    index = texts.mapInArrow(prefixes(words, num, den, sketch_bits, levels), "id long, n long, toks array<long>").filter("n > 0")
-    index = index.join(small(part, part.count()), "id").select("id", "n", "comp", F.posexplode("toks").alias("pos", "tok"))
-    entries = index.select("tok", "n", F.col("pos").cast("long").alias("pos"), "comp", "id").repartition("tok").sortWithinPartitions("tok", "n", "pos", "id")
+    index = texts.mapInArrow(prefixes(words, num, den, sketch_bits, levels), "id long, n long, p0 long, p1 long, toks array<long>").filter("n > 0")
+    index = index.join(small(part, part.count()), "id").select("id", "n", "comp", "p0", "p1", F.posexplode("toks").alias("pos", "tok"))
+    entries = index.withColumn("pos", F.col("pos").cast("long")).select(*ENTRY).repartition("tok").sortWithinPartitions("tok", "n", "pos", "id")
     found = stash(entries.mapInArrow(list_pairs(num, den, list_rows), FOUND_DDL), "found")
     x, y = (found.filter("block is not null").select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("seq", "lo", "hi", "block"))) for s in "xy")
     far = x.join(y, "tok").filter(f"x_seq <= y_seq and {den} * x_hi >= {num} * y_lo").select("x_block", "y_block", F.expr("x_seq = y_seq").alias("same"))
