@@ -408,3 +408,19 @@ def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (
+  select doc_id, case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')]
+         else list_distinct(list_transform(range(len(ws) - 3), lambda i: array_to_string(ws[(i + 1)::int:(i + 4)::int], ' '))) end sh from w),
+e as (select doc_id, len(sh) n, unnest(sh) x from s),
+p as (
+  select a.doc_id a, b.doc_id b from e a join e b on a.x = b.x and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l as (select a, b from p union all select b, a from p),
+r as (select doc_id id, doc_id c from s union select l.b, r.c from r join l on l.a = r.id)
+select doc_id, len(sh) n_shingles, (select min(c) from r where r.id = doc_id) component_id from s
+"""

@@ -16,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_jaccard_join": jaccard_join.ORACLE,
     "op6_warc_zip": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
