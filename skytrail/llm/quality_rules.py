@@ -34,7 +34,7 @@ FEATURES = {
 BINS = 24  # thresholds a feature from each label's quantiles
 MAX_RULES, MAX_CONDITIONS = 8, 3
 MIN_COVER = 5
-MIN_PURITY = 0.9
+MIN_PURITY = 0.95
 CLOSE = 0.97
 
 
