@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skytrail.llm.common import bounded_batches, stash, table
+from skytrail.llm.common import bounded_batches, small, stash, table
 
 RESPONSE_MIN = 0  # payloads of fewer bytes are never revisits
 ARCHIVE_BYTES = 4 << 20  # a package is closed once its records have that many bytes
@@ -201,9 +201,10 @@ def write_archives(pages: DataFrame, min_bytes: int = RESPONSE_MIN) -> DataFrame
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     key = F.unhex(F.sha1("payload"))
-    # Ids of each payload that more than one id has; no page's payload is shuffled.
+    # Ids of each payload that more than one id has; payloads are shuffled only if these are too many
+    # to broadcast.
     first = stash(rows.select("page_id", F.length("payload").alias("n"), key.alias("k")).filter(F.col("n") >= min_bytes).groupBy("k").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count("*").alias("c")).filter("first < last").select("k", "first"), "first")
-    found = rows.withColumn("k", key).join(first, "k", "left")
+    found = rows.withColumn("k", key).join(small(first, first.count()), "k", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return stash(found.select("page_id", "url", "payload", refers.alias("refers")).mapInArrow(write_packages, "n long, package binary"), "packages")
 
