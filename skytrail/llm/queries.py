@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_jaccard_join": jaccard_join.ORACLE,
+    "op4_url_filter": url_filter.ORACLE,
     "op6_warc_zip": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }

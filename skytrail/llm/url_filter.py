@@ -117,3 +117,56 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("quality").alias("q"))
     known = pages.withColumn("_doc", doc).join(labels, "_doc").select("page_id", F.when(F.col("q") == 0, 1).when(F.col("q") == 1, 0).alias("bad"))
     return judge(pages, known).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 9).alias("purity"))
+
+
+def _oracle() -> str:
+    """The query in SQL: the levels of the tree are written out one after another."""
+    cols = [f"s{i}" for i in range(DEPTH)]
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')", h + p, v) for v, h, p in longest]
+    rule, verdict = ("case " + " ".join(f"when {c} then '{x[k]}'" for c, *x in fits) + " end" for k in (0, 1))
+    number, ident = r"^\d+(\.\w+)?$", r"^[0-9a-fA-F-]{8,}$"
+
+    def seg(i: int) -> str:
+        s = f"parts[{i + 1}]" if i < DEPTH - 1 else f"case when len(parts) >= {DEPTH} then array_to_string(parts[{DEPTH}:], '/') end"
+        variable = rf"regexp_matches({s}, '{number}') or regexp_matches({s}, '{ident}') and regexp_matches({s}, '\d')"
+        return rf"case when path = '' then null when {variable} then '*' || regexp_extract({s}, '(\.\w+)$', 1) else {s} end s{i}"
+
+    sql = rf"""with u as (
+  select page_id, url, coalesce(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end, '') rest from pages),
+h as (
+  select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
+q as (select doc_id, max(quality) q from labels group by 1),
+k as (
+  select page_id, case q when 0 then 1 when 1 then 0 end bad
+  from (select page_id, try_cast(regexp_extract(coalesce(url, ''), '^[^?#]*/([0-9]+)(?:/|[.][a-z]+)?(?:[?#].*)?$', 1) as bigint) doc_id from pages) join q using (doc_id)),
+p as (
+  select h.page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') parts, bad
+  from h left join (select page_id, max(bad) bad from k where bad is not null group by 1) using (page_id)),
+r as (select page_id, host, path, bad, {", ".join(map(seg, range(DEPTH)))} from p),
+lv0 as (select host, {", ".join(cols)}, count(*) n, count(bad) labelled, coalesce(sum(bad), 0) bad, '' template from r group by all)"""
+    for i in range(DEPTH):
+        share = "((all_bad + 1) / (all_labelled + 2))"
+        sql += f""",
+child{i} as (select host, template, s{i}, sum(n) n, sum(labelled) labelled, sum(bad) bad from lv{i} where s{i} is not null group by 1, 2, 3),
+node{i} as (select host, template, count(*) children, sum(n) all_n, sum(labelled) all_labelled, sum(bad) all_bad from child{i} group by 1, 2),
+move{i} as (
+  select host, template, s{i}, case when children > {WIDE} and 2 * n * children < all_n then '*'
+         when children > 1 and (labelled = 0 or abs(bad / greatest(1, labelled) - {share}) < {Z}e0 * sqrt({share} * (1 - {share}) / greatest(1, labelled))) then '~' else s{i} end moved
+  from child{i} join node{i} using (host, template)),
+lv{i + 1} as (
+  select a.host, {", ".join(f"a.{c}" for c in cols)}, a.n, a.labelled, a.bad, case when a.s{i} is null then a.template else a.template || '/' || moved end template
+  from lv{i} a left join move{i} b on a.host = b.host and a.template = b.template and a.s{i} = b.s{i})"""
+    match = " and ".join(["r.host = t.host", *(f"r.{c} is not distinct from t.{c}" for c in cols)])
+    return (
+        sql
+        + f""",
+prior as (select coalesce(avg(bad), 0) prior from r),
+tree as (select host, template, (sum(bad) + {SMOOTH}e0 * any_value(prior)) / (sum(labelled) + {SMOOTH}e0) purity from lv{DEPTH}, prior group by 1, 2)
+select page_id, r.host as host, path, {rule.replace("(host", "(r.host").replace("(host,", "(r.host,")} as rule,
+  coalesce({verdict.replace("(host", "(r.host").replace("(host,", "(r.host,")}, case when purity > {REJECT}e0 then 'block' else 'allow' end) verdict, t.template as template, round(purity, 9) purity
+from r join lv{DEPTH} t on {match} join tree on tree.host = t.host and tree.template = t.template"""
+    )
+
+
+ORACLE = _oracle()
