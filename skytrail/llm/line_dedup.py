@@ -173,14 +173,17 @@ def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[drop].astype(np.int64)), pa.array(ts[drop].astype(np.int64)), pa.array(line[drop].astype(np.int32))], ["id", "t", "line"])
 
 
-def build_index(occ: DataFrame, lines_per_shard: int = 1 << 17) -> tuple[DataFrame, int]:
-    """The written index: one row a shard, (shard, occ, mph, fps, counts, keepers), and its bits."""
+def build_index(occ: DataFrame, lines_per_shard: int = 1 << 13, lines_per_task: int = 200_000) -> tuple[DataFrame, int, int]:
+    """The written index, one row a shard: (shard, occ, mph, fps, counts, keepers); its bits; and how
+    many tasks to deal its shards to."""
     lines = stash(occ.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count("*").alias("occ")), "lines")
-    bits = max(2, (lines.count() // lines_per_shard).bit_length())
+    n = lines.count()
+    bits = max(2, (n // lines_per_shard).bit_length())
+    tasks = max(int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // lines_per_task)
     # Only "in one document" or "in more" decides, so the largest id stands for a distinct count.
     rows = lines.select(shard_of(bits).alias("shard"), "h", F.when(F.col("keeper") < F.col("last"), 2).otherwise(1).cast("long").alias("n"), "occ", "keeper")
-    rows = rows.repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    return stash(rows.mapInArrow(build_shards, "shard int, occ long, mph binary, fps binary, counts binary, keepers binary"), "index"), bits
+    rows = rows.repartition(tasks, "shard").sortWithinPartitions("shard")
+    return stash(rows.mapInArrow(build_shards, "shard int, occ long, mph binary, fps binary, counts binary, keepers binary"), "index"), bits, tasks
 
 
 def shard_of(bits: int) -> F.Column:
@@ -192,14 +195,14 @@ def dropped_lines(docs: DataFrame, rows_per_probe: int = 4_000_000) -> DataFrame
     spark = docs.sparkSession
     bounded_batches(spark)
     occ = stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(occurrences, "h long, id long, t long, line int"), "occ")
-    index, bits = build_index(occ)
+    index, bits, tasks = build_index(occ)
     # A shard that hot lines make large is probed by several tasks, each with the shard's arrays.
-    salts = F.broadcast(index.select("shard", F.ceil(F.col("occ") / rows_per_probe).cast("int").alias("salts")))  # one row a shard
+    salts = small(index.select("shard", F.ceil(F.col("occ") / rows_per_probe).cast("int").alias("salts")), 1 << bits)  # one row a shard
     empty = [F.lit(None).cast(t).alias(c) for c, t in (("mph", "binary"), ("fps", "binary"), ("counts", "binary"), ("keepers", "binary"))]
     asks = occ.withColumn("shard", shard_of(bits)).join(salts, "shard")
     asks = asks.select("shard", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "h", "id", "t", "line", *empty)
     shards = index.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *(F.lit(0).cast(t).alias(c) for c, t in (("h", "long"), ("id", "long"), ("t", "long"), ("line", "int"))), "mph", "fps", "counts", "keepers")
-    both = shards.union(asks).repartition(1 << bits, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    both = shards.union(asks).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     found = both.mapInArrow(probe, "id long, t long, line int")
     return found.groupBy("id", "t").agg(F.collect_set("line").alias("drops"))
 
