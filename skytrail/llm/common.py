@@ -16,11 +16,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or in tests (unset) one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="skytrail-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="skytrail-"))
     return path.rstrip("/")
 
 
+_OWN: dict[str, str] = {}
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Texts can be very long, so Arrow batches are bounded by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
