@@ -14,6 +14,7 @@ from skytrail.llm.common import bucketed_rank, small, stash, table
 BLOCK = 16  # documents a block
 PERIOD = 1000  # slots in which weights are kept exactly
 MAX_SOURCES = 1000  # all that the driver plans with; more sources are an error
+PLACE = ["phase", "slot", "position"]
 FLATTEN = 0.5  # default targets: the square root of each source's documents
 
 
@@ -126,14 +127,25 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
     return got.select("source", "doc_id", "phase", "block", "slot", position.cast("long").alias("position"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """All rows of docs, dealt to files and sorted within them in the order of the mixture."""
+def _placed(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
+    """Each row of docs as `row`, beside its _phase, _slot and _position."""
     order = stash(interleave(docs, weights), "order")
     n = order.count()
-    places = order.select(source_key().alias("_k"), F.col("doc_id").alias("_id"), F.col("position").alias("_position"))
+    places = order.select(source_key().alias("_k"), F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in PLACE])
     rows = docs.select(F.struct(*docs.columns).alias("row"), source_key().alias("k"), F.col("doc_id").cast("long").alias("d"))
     joined = rows.join(small(places, n), (rows["k"] == places["_k"]) & rows["d"].eqNullSafe(places["_id"]))
-    return joined.select("row", "_position").repartitionByRange("_position").sortWithinPartitions("_position").select("row.*")
+    return joined.select("row", *[f"_{c}" for c in PLACE])
+
+
+def place(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """All rows of docs with their phase, slot and position in the mixture, which hang on the set of
+    (source, doc_id) alone and not on the order in which files are read."""
+    return _placed(docs, weights).select("row.*", *[F.col(f"_{c}").alias(c) for c in PLACE])
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """All rows of docs, dealt to files and sorted within them in the order of the mixture."""
+    return _placed(docs, weights).repartitionByRange("_position").sortWithinPartitions("_position").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,7 +215,7 @@ def encoder(model: bytes) -> Encoder:
     return Encoder(model)
 
 
-def encode_batches(model: bytes, keep: bool):
+def encode_batches(model: bytes, keep: bool, carry: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for b in batches:
@@ -229,22 +229,26 @@ def encode_batches(model: bytes, keep: bool):
                 for col, v in zip(out, row + [ids, spans.ravel()] * keep, strict=False):
                     col.append(v)
             types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=False))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact", "spans_crc32", "ids", "spans"][: len(out) + 1])
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact", "spans_crc32", "ids", "spans"][: len(out) + 1]
+            carried = range(2, 2 + carry)
+            cols = [b.column(0), *(pa.array(c, t) for c, t in zip(out, types, strict=False)), *(b.column(i) for i in carried)]
+            yield pa.RecordBatch.from_arrays(cols, names + [b.schema.names[i] for i in carried])
 
     return run
 
 
-def encode_documents(docs: DataFrame, model_path: str, keep: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, keep: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, digests of ids, decoded text and spans, exact (the decoded
-    text is the text); with keep also ids, and spans as begin, end, begin, end, ...
+    text is the text); with keep also ids, and spans as begin, end, begin, end, ...; then the columns of docs that are carried along.
 
     Null text counts as empty and has no ids.  Ties and repeated rows do not matter.
     """
     bounded_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean, spans_crc32 long" + ", ids array<int>, spans array<long>" * keep
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode_batches(model, keep), schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean, spans_crc32 long" + ", ids array<int>, spans array<long>" * keep + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    return rows.mapInArrow(encode_batches(model, keep, len(carry)), schema)
 
 
 def model_path() -> str:

@@ -1,4 +1,6 @@
 import hashlib
+import math
+from fractions import Fraction
 
 import public_tokenizers
 import sentencepiece
@@ -26,6 +28,36 @@ def test_against_plain_stages(spark, tmp_path):
     assert {r.doc_id: (r.n_tokens, r.ids_sha256) for r in got} == want and len(got) == len(want)
 
 
+def plain_mixture(docs, block=16):
+    """(source, doc_id) -> (phase, slot, position), from documents of each source in their order."""
+    blocks = {k: [v[i : i + block] for i in range(0, len(v), block)] for k, v in docs.items()}
+    weights = {k: Fraction(len(v) ** 0.5) for k, v in docs.items()}
+    out, slot, phase, position = {}, 0, 0, 0
+    while blocks:
+        total = sum(weights[k] for k in blocks)
+        share = {k: weights[k] / total for k in blocks}
+        done, t = dict.fromkeys(blocks, 0), 0
+        while all(done[k] < len(blocks[k]) for k in blocks):
+            ready = [(math.ceil((done[k] + 1) / share[k]), k) for k in blocks if math.floor(done[k] / share[k]) <= t]
+            _, k = min(ready)
+            for i in blocks[k][done[k]]:
+                out[k, i] = phase, slot, position
+                position += 1
+            done[k] += 1
+            t, slot = t + 1, slot + 1
+        blocks = {k: left for k in blocks if (left := blocks[k][done[k] :])}
+        phase += 1
+    return out
+
+
+def test_mixture_reaches_the_rows(spark):
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").selectExpr("*", "xxhash64(doc_id, 42) h").collect()
+    docs = {}
+    for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
+        docs.setdefault(r.source, []).append(r.doc_id)
+    assert {(r.source, r.doc_id): (r.phase, r.slot, r.position) for r in rows} == plain_mixture(docs)
+
+
 def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(50)
     for name, stage in corpus_pipeline.STAGES[:-1]:
