@@ -4,7 +4,13 @@ and a deadline from the source's weight, and the earliest deadline goes first.""
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from bisect import bisect_left
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +18,6 @@ from pyspark.sql import functions as F
 from skytrail.llm.common import bucketed_rank, small, stash, table
 
 BLOCK = 16  # documents a block
-PERIOD = 1000  # slots in which weights are kept exactly
 MAX_SOURCES = 1000  # all that the driver plans with; more sources are an error
 PLACE = ["phase", "slot", "position"]
 FLATTEN = 0.5  # default targets: the square root of each source's documents
@@ -33,8 +38,23 @@ def whole_weights(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def pfair(weights: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in a period of sum(weights) slots.
+def exact_weights(weights: dict[str, float]) -> dict[str, int]:
+    """The least integers in exactly the proportions of the weights.
+
+    Sources of weight 0 come after all others, in equal parts, so they are left out beside these.
+    """
+    if any(w < 0 for w in weights.values()):
+        raise ValueError("a weight is negative")
+    parts = {k: Fraction(w) for k, w in weights.items() if w > 0} or dict.fromkeys(weights, Fraction(1))
+    unit = math.lcm(*(w.denominator for w in parts.values()))
+    whole = {k: int(w * unit) for k, w in parts.items()}
+    least = math.gcd(*whole.values())
+    return {k: w // least for k, w in whole.items()}
+
+
+def pfair(weights: dict[str, int], blocks: dict[str, int]) -> dict[str, array]:
+    """The slots of each source in a period of sum(weights) slots, which ends early when a source
+    has no block left.
 
     Block j (from 0) of a source of weight w may start at floor(j * period / w) and must have gone by
     ceil((j + 1) * period / w).  With weights that fill the period, earliest deadline first meets
@@ -44,31 +64,37 @@ def pfair(weights: dict[str, int]) -> dict[str, list[int]]:
     coming = [(0, -(-period // w), k, 0) for k, w in weights.items()]
     heapq.heapify(coming)
     ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {k: [] for k in weights}
-    for t in range(period):
+    out = {k: array("q") for k in weights}
+    t = 0
+    while t < period:
         while coming and coming[0][0] <= t:
             _, deadline, k, j = heapq.heappop(coming)
             heapq.heappush(ready, (deadline, k, j))
         _, k, j = heapq.heappop(ready)
         out[k].append(t)
+        t += 1
+        if j + 1 == blocks[k]:
+            break
         if j + 1 < (w := weights[k]):
             heapq.heappush(coming, ((j + 1) * period // w, -(-(j + 2) * period // w), k, j + 1))
     return out
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
+def plan(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> list[dict]:
     """Phases: when a source has no block left, the others go on at weights in the same proportions.
 
     Each phase: start (its first slot), length, period, and for each source (first block, blocks in
-    the phase, weight, slots in a period).  There are at most as many phases as sources.
+    the phase, weight, slots in a period).  There are at most as many phases as sources.  weight /
+    period is the source's part exactly; with `period` parts are rounded to whole slots of so many.
+    Slots are listed up to the phase's end, 8 bytes a block.
     """
     done = dict.fromkeys(blocks, 0)
     out, start = [], 0
     while active := {k: weights[k] for k in sorted(blocks) if done[k] < blocks[k]}:
-        whole = whole_weights(active, period)
-        size, slots = sum(whole.values()), pfair(whole)
-        ends = [((n - 1) // whole[k]) * size + slots[k][(n - 1) % whole[k]] + 1 for k in active if (n := blocks[k] - done[k])]
-        length = min(ends)
+        whole = whole_weights(active, period) if period else exact_weights(active)
+        left = {k: blocks[k] - done[k] for k in whole}
+        size, slots = sum(whole.values()), pfair(whole, left)
+        length = min(((n - 1) // whole[k]) * size + slots[k][(n - 1) % whole[k]] + 1 for k, n in left.items() if (n - 1) % whole[k] < len(slots[k]))
         sources = {}
         for k, w in whole.items():
             n = length // size * w + bisect_left(slots[k], length % size)
@@ -84,12 +110,13 @@ def source_key(column: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
-def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 42, period: int = PERIOD) -> DataFrame:
+def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 42, period: int | None = None) -> DataFrame:
     """source, doc_id, phase, block, slot and position (from 0, no gaps) of every document.
 
     weights: target weights by source; a source without one has the least of them.  Without weights
     they are the square roots of the sources' sizes.  Within a source documents are in hash order.
-    In each phase, every source is less than a block off its part at every slot.  No document is
+    In each phase, every source is less than a block off its part at every slot, by the weights as
+    they are asked for (rounded only if a period is given); of weight 0 they go last.  No document is
     left out or repeated: sources that run out leave, and the others go on.  Rows that repeat a
     (source, doc_id) share one position; null ids are one document a source; texts do not matter.
     """
@@ -104,22 +131,24 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
         given = {f"={k}": w for k, w in weights.items()}
         targets = {k: given.get(k, min(given.values())) for k in sizes}
     phases = plan({k: -(-n // block) for k, n in sizes.items()}, targets, period)
-    turns, slots, short = [], [], []
+    turns, slots, short = [], [], []  # slots: (turn, j, slot) as arrays
     for p, ph in enumerate(phases):
         for k, (first, n, w, at) in ph["sources"].items():
             if n:
-                turns.append((k, p, first, first + n, w, ph["start"], ph["period"]))
-                slots += [(k, p, j, s) for j, s in enumerate(at[:n])]
+                listed = min(n, w)  # a longer turn repeats them
+                turns.append((k, p, len(turns), first, first + n, listed, ph["start"], ph["period"] if n > w else 0))
+                slots.append((np.full(listed, len(turns) - 1, np.int32), np.arange(listed), np.frombuffer(at, np.int64)[:listed]))
             if n and first + n == -(-sizes[k] // block) and sizes[k] % block:
                 slot = ph["start"] + (n - 1) // w * ph["period"] + at[(n - 1) % w]
                 short.append((slot, block - sizes[k] % block))
     ranked = bucketed_rank(rows, ["_k"], F.xxhash64("doc_id", F.lit(seed)), ["doc_id"], "_rank", sum(sizes.values()))
     ranked = ranked.withColumn("block", F.expr(f"_rank div {block}"))
-    # Both tables are bounded by MAX_SOURCES and the period.
-    turn = F.broadcast(spark.createDataFrame(turns, "_k string, phase int, _from long, _to long, _w long, _start long, _period long"))
-    slot = F.broadcast(spark.createDataFrame(slots, "_k string, phase int, _j long, _slot long"))
+    # Turns are bounded by MAX_SOURCES; slots are at most one a block, and broadcast only while few.
+    turn = F.broadcast(spark.createDataFrame(turns, "_k string, phase int, _turn int, _from long, _to long, _w long, _start long, _period long"))
+    columns = [np.concatenate(c) for c in zip(*slots, strict=True)] if slots else [np.zeros(0, t) for t in (np.int32, np.int64, np.int64)]
+    slot = small(spark.createDataFrame(pa.table(columns, names=["_turn", "_j", "_slot"])), len(columns[0]))
     got = ranked.join(turn, "_k").filter("block >= _from and block < _to")
-    got = got.withColumn("_j", F.expr("(block - _from) % _w")).join(slot, ["_k", "phase", "_j"])
+    got = got.withColumn("_j", F.expr("(block - _from) % _w")).join(slot, ["_turn", "_j"])
     got = got.withColumn("slot", F.expr("_start + (block - _from) div _w * _period + _slot"))
     gaps = F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(n).cast("long").alias("n")) for s, n in sorted(short)])
     before = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + F.when(g["s"] < F.col("slot"), g["n"]).otherwise(F.lit(0).cast("long"))) if short else F.lit(0)

@@ -1,3 +1,5 @@
+from fractions import Fraction
+
 import pytest
 
 from skytrail.llm import mixing
@@ -22,6 +24,49 @@ def test_no_source_is_a_block_off(sizes):
     assert seen == sizes
 
 
+@pytest.mark.parametrize(
+    "sizes, weights",
+    [
+        ({"hot": 9000, **{f"s{i}": 1250 for i in range(19)}}, {"hot": 9000**0.5, **{f"s{i}": 1250**0.5 for i in range(19)}}),
+        ({"a": 30_000, "b": 20}, {"a": 0.9999, "b": 0.0001}),
+        ({"a": 5000, "b": 5000, "c": 10}, {"a": 1 / 3, "b": 2 / 3, "c": 0.0}),
+        ({"a": 700, "b": 300}, {"a": 3.0, "b": 1.0}),
+    ],
+)
+def test_lag_against_the_weights_asked_for(sizes, weights):
+    seen = dict.fromkeys(sizes, 0)
+    for phase in mixing.plan(sizes, weights):
+        active = {k: Fraction(weights[k]) for k in sizes if seen[k] < sizes[k]}
+        if not any(active.values()):
+            active = dict.fromkeys(active, Fraction(1))
+        total = sum(active.values())
+        order = [None] * phase["length"]
+        for k, (first, n, w, at) in phase["sources"].items():
+            assert first == seen[k]
+            seen[k] += n
+            for j in range(n):
+                order[j // w * phase["period"] + at[j % w]] = k
+        assert None not in order
+        counts = dict.fromkeys(active, 0)
+        for i, k in enumerate(order):
+            counts[k] += 1
+            if i % 50 == 0 or i + 1 == len(order):
+                assert all(abs(counts[x] - (i + 1) * active[x] / total) < 1 for x in active)
+    assert seen == sizes
+
+
+def test_plan_reaches_the_documents(spark):
+    """interleave() gives each document its block's slot, where slots are listed and where they repeat."""
+    docs = spark.createDataFrame([(i, "ab"[i % 3 == 0]) for i in range(900)], "doc_id long, source string")
+    for weights in ({"a": 0.7, "b": 0.30001}, {"a": 3.0, "b": 1.0}):
+        want = {}
+        for p, phase in enumerate(mixing.plan({"a": 300, "b": 150}, weights)):
+            for k, (first, n, w, at) in phase["sources"].items():
+                want |= {(k, first + j): (p, phase["start"] + j // w * phase["period"] + at[j % w]) for j in range(n)}
+        rows = mixing.interleave(docs, weights, block=2).collect()
+        assert {(r.source, r.block): (r.phase, r.slot) for r in rows} == want and len(rows) == 900
+
+
 def test_whole_weights():
     assert mixing.whole_weights({"a": 1, "b": 1, "c": 1}, 10) in ({"a": 4, "b": 3, "c": 3},)
     assert mixing.whole_weights({"a": 1e-9, "b": 1}, 10) == {"a": 1, "b": 9}
