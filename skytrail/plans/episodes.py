@@ -186,8 +186,8 @@ def endpoint_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Predicted chunks: at every fourth frame of an episode, actions made of that frame's vector."""
-    e = table(spark, d, "embeddings").filter("vec_id % 4 = 0")
+    """Predicted chunks: at every frame of an episode, actions made of that frame's vector."""
+    e = table(spark, d, "embeddings")
     acts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.array(*[F.element_at("embedding", i * 4 + 1 + j) for j in range(4)]))
     return e.select(F.expr("vec_id div 50").alias("episode"), F.expr("vec_id % 50").alias("start_step"), acts.alias("actions"))
 
