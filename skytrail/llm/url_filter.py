@@ -8,6 +8,8 @@ so no step sees all pages of a host at once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-DEPTH = 4  # segments beyond it are one
+DEPTH = 4  # levels that the SQL writes out; paths of more segments are beyond it
 WIDE = 20  # a node of more children turns those of under half the mean share into wildcards
 Z = 2.0  # labelled shares that are fewer standard errors apart are not told apart
 SMOOTH = 4.0  # labelled pages that the overall share counts as
@@ -51,24 +53,44 @@ def rule_column(rules: list[tuple[str, str, str]], value) -> Column:
     return out.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
 
 
-def segments() -> list[Column]:
-    """DEPTH columns; numbers and long hexadecimal ids are wildcards from the start."""
-    parts = F.split(F.regexp_replace("path", r"^/", ""), "/", DEPTH)
-    out = []
-    for i in range(DEPTH):
-        s = F.get(parts, F.lit(i))
+def segments() -> Column:
+    """The path's segments, none of an empty path; numbers and long hexadecimal ids are wildcards
+    from the start."""
+
+    def kind(s: Column) -> Column:
         variable = s.rlike(r"^\d+(\.\w+)?$") | s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike(r"\d")
-        kind = F.concat(F.lit("*"), F.regexp_extract(s, r"(\.\w+)$", 1))
-        out.append(F.when(F.col("path") == "", F.lit(None).cast("string")).when(variable, kind).otherwise(s).alias(f"s{i}"))
-    return out
+        return F.when(variable, F.concat(F.lit("*"), F.regexp_extract(s, r"(\.\w+)$", 1))).otherwise(s)
+
+    parts = F.transform(F.split(F.regexp_replace("path", r"^/", ""), "/"), kind)
+    return F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)
 
 
 def templates(patterns: DataFrame) -> DataFrame:
-    """patterns: host, s0.., n, labelled, bad.  Adds the template of each pattern, level by level."""
-    level = patterns.withColumn("template", F.lit(""))
-    for i in range(DEPTH):
-        seg = f"s{i}"
-        child = level.filter(F.col(seg).isNotNull()).groupBy("host", "template", seg).agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+    """patterns: host, segs, n, labelled, bad.  Adds the template of each pattern, level by level,
+    until no pattern has a segment left.
+
+    Segments that all patterns below a node share are passed at once, as an only child is neither
+    rare nor merged; so the rounds follow the branchings, not the length of the longest path.
+    """
+    columns = [*patterns.columns, "template"]
+    level = patterns.withColumn("template", F.lit("")).withColumn("rest", F.col("segs"))
+    done, i = [], 0
+    while True:
+        done.append(level.filter(F.size("rest") == 0).select(*columns))
+        level = level.filter(F.size("rest") > 0)
+        if level.isEmpty():
+            return reduce(DataFrame.union, done)
+        low, high = F.min("rest").alias("low"), F.max("rest").alias("high")
+        # What the least and the greatest list begin with, all between them begin with.
+        differ = F.expr("array_position(zip_with(low, high, (a, b) -> a <=> b), false)")
+        ahead = level.groupBy("host", "template").agg(low, high).select("host", "template", F.when(differ == 0, F.size("low")).otherwise(differ.cast("int") - 1).alias("_ahead"))
+        level = level.join(ahead, ["host", "template"])
+        level = level.withColumn("template", F.when(F.col("_ahead") > 0, F.concat("template", F.lit("/"), F.array_join(F.slice("rest", F.lit(1), F.col("_ahead")), "/"))).otherwise(F.col("template")))
+        level = level.withColumn("rest", F.slice("rest", F.col("_ahead") + 1, F.size("rest"))).withColumn("seg", F.get("rest", F.lit(0))).drop("_ahead")
+        level = stash(level, f"node{i}")
+        done.append(level.filter("seg is null").select(*columns))
+        level = level.filter("seg is not null")
+        child = level.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
         node = child.groupBy("host", "template").agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
         both = child.join(node, ["host", "template"])
         share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
@@ -76,11 +98,11 @@ def templates(patterns: DataFrame) -> DataFrame:
         alike = (F.col("labelled") == 0) | (off < Z * F.sqrt(share * (1 - share) / F.greatest(F.lit(1), F.col("labelled"))))
         rare = (F.col("children") > WIDE) & (2 * F.col("n") * F.col("children") < F.col("all_n"))
         # Rare children are one wildcard; children whose bad share is that of all are one branch.
-        to = F.when(rare, "*").when((F.col("children") > 1) & alike, "~").otherwise(F.col(seg))
-        moves = both.select("host", "template", seg, to.alias("_to"))
-        joined = level.join(moves, ["host", "template", seg], "left")
-        level = stash(joined.withColumn("template", F.when(F.col(seg).isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "_to"))).drop("_to").select(*level.columns), f"level{i}")
-    return level
+        to = F.when(rare, "*").when((F.col("children") > 1) & alike, "~").otherwise(F.col("seg"))
+        moves = both.select("host", "template", "seg", to.alias("_to"))
+        level = level.join(moves, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "_to"))
+        level = stash(level.withColumn("rest", F.slice("rest", F.lit(2), F.size("rest"))).select(*columns, "rest"), f"level{i}")
+        i += 1
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -93,8 +115,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     known = labels.filter("bad in (0, 1) and page_id is not null").groupBy(F.col("page_id").alias("_id")).agg(F.max("bad").cast("long").alias("_bad"))
     rows = host_and_path(pages.select("page_id", "url"))
     rows = rows.join(known, F.col("page_id") == F.col("_id"), "left").select("page_id", "host", "path", "_bad")
-    rows = stash(rows.select("*", *segments()), "urls")
-    keys = ["host", *(f"s{i}" for i in range(DEPTH))]
+    rows = stash(rows.withColumn("segs", segments()), "urls")
+    keys = ["host", "segs"]
     patterns = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("_bad").alias("labelled"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
     found = templates(stash(patterns, "patterns"))
     prior = rows.agg(F.coalesce(F.avg("_bad"), F.lit(0.0)).alias("prior"))
@@ -102,10 +124,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     tree = tree.select("host", "template", ((F.col("_b") + SMOOTH * F.col("prior")) / (F.col("_l") + SMOOTH)).alias("purity"))
     judged = stash(found.select(*keys, "template").join(tree, ["host", "template"]), "templates")
     side = judged.select(*[F.col(k).alias(f"_{k}") for k in keys], "template", "purity")
-    match = rows["host"] == side["_host"]
-    for k in keys[1:]:
-        match = match & rows[k].eqNullSafe(side[f"_{k}"])
-    out = rows.join(small(side, side.count(), 200_000), match)
+    out = rows.join(small(side, side.count(), 200_000), (rows["host"] == side["_host"]) & (rows["segs"] == side["_segs"]))
     method = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule_column(rules, lambda v, r: r).alias("rule"), F.coalesce(rule_column(rules, lambda v, r: v), method).alias("verdict"), "template", "purity")
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -46,6 +47,62 @@ def test_wide_nodes_and_alike_branches(spark):
     assert len({r.template for r in got if r.page_id < 100}) == 1
 
 
+def test_bad_branch_below_the_fourth_segment(spark):
+    """The same branch is found at any depth; ids in deep paths are wildcards."""
+    rows, labels = [], []
+    for i in range(900):
+        kind = ("spam", "news", "blog")[i % 3]
+        rows.append((i, f"http://deep.test/blog/2023/05/a/b/c/{kind}/{i}"))
+        labels.append((i, int(kind == "spam")))
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=[]).collect()
+    by = {}
+    for r in got:
+        by.setdefault(rows[r.page_id][1].split("/")[9], set()).add((r.template, r.verdict))
+    assert by == {k: {(f"/blog/*/*/a/b/c/{k}/*", "block" if k == "spam" else "allow")} for k in ("spam", "news", "blog")}
+
+
+def plain_templates(patterns):
+    """(segments, n, labelled, bad) of a host -> templates, a segment at a time."""
+    out, level = {}, [((), p) for p in patterns]
+    depth = 0
+    while level:
+        nodes, nxt = {}, []
+        for at, p in level:
+            if len(p[0]) == depth:
+                out[p[0]] = "".join("/" + s for s in at)
+            else:
+                nodes.setdefault(at, []).append(p)
+        for at, ps in nodes.items():
+            child = {}
+            for s, *c in ps:
+                child[s[depth]] = [a + b for a, b in zip(child.get(s[depth], [0, 0, 0]), c)]
+            n, lab, bad = (sum(c[i] for c in child.values()) for i in range(3))
+            share = (bad + 1) / (lab + 2)
+            for p in ps:
+                cn, cl, cb = child[p[0][depth]]
+                rare = len(child) > url_filter.WIDE and 2 * cn * len(child) < n
+                alike = not cl or abs(cb / cl - share) < url_filter.Z * (share * (1 - share) / cl) ** 0.5
+                nxt.append(((*at, "*" if rare else "~" if len(child) > 1 and alike else p[0][depth]), p))
+        level, depth = nxt, depth + 1
+    return out
+
+
+def test_templates_against_a_plain_walk(spark):
+    rng = random.Random(5)
+    patterns = {}
+    for _ in range(600):
+        path = ["x", "y"] if rng.random() < 0.5 else []
+        path += [rng.choice("abc") for _ in range(rng.randrange(7))] + ([f"t{rng.randrange(60)}", "end"] if rng.random() < 0.3 else [])
+        n = rng.randrange(1, 30)
+        lab = rng.randrange(n + 1)
+        bad = lab if path[-3:-2] == ["b"] else rng.randrange(lab // 4 + 1)
+        patterns[tuple(path)] = (n, lab, bad)
+    rows = [("h", list(k), *v) for k, v in patterns.items()]
+    got = url_filter.templates(spark.createDataFrame(rows, "host string, segs array<string>, n long, labelled long, bad long")).collect()
+    assert len(got) == len(rows)
+    assert {tuple(r.segs): r.template for r in got} == plain_templates([(k, *v) for k, v in patterns.items()])
+
+
 def test_purity_is_smoothed(spark):
     rows = [(i, f"http://one.test/{'a' if i < 10 else 'b'}/x") for i in range(100)]
     labels = [(i, int(i < 10)) for i in range(100)]
