@@ -31,8 +31,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens, as counts and digests, with each document's place in the mixture."""
-    return pieces.encode_documents(mixing.place(docs), pieces.model_path(), keep=False, carry=("source", *mixing.PLACE))
+    """The documents' token ids and byte spans, with each document's place in the mixture."""
+    return pieces.encode_documents(mixing.place(docs), pieces.model_path(), carry=("source", *mixing.PLACE))
 
 
 STAGES = [

@@ -1,5 +1,7 @@
 import hashlib
 import math
+import struct
+import zlib
 from fractions import Fraction
 
 import public_tokenizers
@@ -52,6 +54,11 @@ def plain_mixture(docs, block=16):
 
 def test_mixture_reaches_the_rows(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").selectExpr("*", "xxhash64(doc_id, 42) h").collect()
+    # The ids and spans themselves are the output; the digests are theirs.
+    for r in rows:
+        assert r.n_tokens == len(r.ids) and len(r.spans) == 2 * len(r.ids)
+        assert hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256
+        assert zlib.crc32(struct.pack(f"<{len(r.spans)}q", *r.spans)) == r.spans_crc32
     docs = {}
     for r in sorted(rows, key=lambda r: (r.h, r.doc_id)):
         docs.setdefault(r.source, []).append(r.doc_id)
