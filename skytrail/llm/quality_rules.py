@@ -32,7 +32,7 @@ FEATURES = {
     "distinct": "n_distinct / greatest(1, n_words)",
 }
 BINS = 24  # thresholds a feature from each label's quantiles
-MAX_RULES, MAX_CONDITIONS = 8, 3
+MAX_CONDITIONS = 3
 MIN_COVER = 5
 MIN_PURITY = 0.95
 CLOSE = 0.97
@@ -115,8 +115,11 @@ def _bin(value: Column, limits: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(v) for v in limits]), lambda t: t < value))
 
 
-def learn(labelled: DataFrame, max_rules: int = MAX_RULES) -> list[Rule]:
-    """labelled: the columns of counts() and bad (0 or 1).  A third of the rows, by hash, prunes."""
+def learn(labelled: DataFrame) -> list[Rule]:
+    """labelled: the columns of counts() and bad (0 or 1).  A third of the rows, by hash, prunes.
+
+    Rules are added until the next one is not pure; each takes rows away, so this ends.
+    """
     names = list(FEATURES)
     values = F.array(*[F.expr(FEATURES[n]).cast("double") for n in names])
     rows = stash(labelled.filter(~base_failed()).select(values.alias("x"), F.col("bad").cast("int").alias("bad"), (F.pmod(F.xxhash64(*BASE, *EXTRA), F.lit(3)) == 0).cast("int").alias("prune")), "labelled")
@@ -133,7 +136,7 @@ def learn(labelled: DataFrame, max_rules: int = MAX_RULES) -> list[Rule]:
 
     rules: list[Rule] = []
     left = rows
-    while len(rules) < max_rules:
+    while True:
         chosen: list[tuple[int, bool, int]] = []
         scores = []  # of each prefix: (worth on the pruning rows, bad, all)
         while len(chosen) < MAX_CONDITIONS:

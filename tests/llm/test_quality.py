@@ -43,6 +43,17 @@ def test_learns_a_conjunction(spark):
     assert rules[0].bad == rules[0].all == 300
 
 
+def test_more_than_eight_kinds(spark):
+    """Twelve kinds of junk between good ones, each told apart by its share of bangs: all are covered."""
+    kinds = 12
+    rows = [(100, 500 + i % 61, 0, 0, 0, 4 * (i % (2 * kinds)), 10, 80, i % 2) for i in range(2 * kinds * 122)]
+    df = labelled(spark, rows)
+    rules = q.learn(df)
+    assert len(rules) > 8
+    got = {(r.bad, r.rejected): r["count"] for r in df.withColumn("rejected", q.verdict(rules).isNotNull()).groupBy("bad", "rejected").count().collect()}
+    assert got == {(0, False): kinds * 122, (1, True): kinds * 122}
+
+
 def test_no_rule_from_noise_or_one_label(spark):
     rows = [(100 + i % 50, 500 + i % 90, i % 11, 0, 0, i % 5, i % 30, 80, i * 7919 % 13 % 2) for i in range(600)]
     assert all(q.purity(r.bad, r.all) >= q.MIN_PURITY for r in q.learn(labelled(spark, rows)))
