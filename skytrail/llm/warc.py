@@ -132,8 +132,17 @@ class Archive:
         return where + 30 + sum(struct.unpack_from("<HH", head, 26))
 
     def index(self) -> list[dict]:
-        name = next(x for x in self.members if x.startswith("indexes/"))
-        return [json.loads(x) for x in self.read(self.start(name), self.members[name][1]).splitlines()]
+        """The entries of all index members, in the order of their names."""
+        names = sorted(x for x in self.members if x.startswith("indexes/") and not x.endswith("/"))
+        if not names:
+            raise ValueError("no index")
+        out = []
+        for name in names:
+            try:
+                out += [json.loads(x) for x in self.read(self.start(name), self.members[name][1]).splitlines()]
+            except json.JSONDecodeError as e:
+                raise ValueError(f"{name} is no index of JSON lines") from e
+        return out
 
     def records(self) -> Iterator[tuple[dict, dict[str, str], bytes]]:
         """Each index entry with its record, one range read a record."""

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
@@ -39,6 +40,35 @@ def test_foreign_archives():
         warc.Archive(lambda at, n: b"", 0)
 
 
+def foreign(indexes):
+    """A package by another writer: two WARC members of two records each, and these indexes."""
+    buf, entries = io.BytesIO(), {}
+    with zipfile.ZipFile(buf, "w") as z:
+        for i, member in enumerate(("archive/a.warc", "archive/b.warc")):
+            data, at = b"", 0
+            for page in (2 * i, 2 * i + 1):
+                body = f"page {page}".encode()
+                data += warc.record(page, f"http://h/{page}", body, warc.digest(body), None)
+                entries[page] = {"page_id": page, "filename": member, "offset": at, "length": len(data) - at}
+                at = len(data)
+            z.writestr(member, data)
+        z.writestr("indexes/", "")
+        for name, pages in indexes.items():
+            z.writestr(name, pages if isinstance(pages, str) else "".join(json.dumps(entries[p]) + "\n" for p in pages))
+    data = buf.getvalue()
+    return warc.Archive(lambda at, n: data[at : at + n], len(data))
+
+
+def test_all_indexes_are_read():
+    a = foreign({"indexes/b.jsonl": [0, 3], "indexes/a.jsonl": [2, 1]})
+    assert [e["page_id"] for e in a.index()] == [2, 1, 0, 3]
+    assert [(e["page_id"], head["warc-target-uri"], body) for e, head, body in a.records()] == [(p, f"http://h/{p}", f"page {p}".encode()) for p in (2, 1, 0, 3)]
+    with pytest.raises(ValueError, match="indexes/b"):
+        foreign({"indexes/a.jsonl": [0], "indexes/b.cdx": "no json"}).index()
+    with pytest.raises(ValueError, match="no index"):
+        foreign({}).index()
+
+
 ROWS = [(3, "http://a/\r\nX: y", "same"), (1, "http://b/", "same"), (2, None, None), (5, "u", ""), (4, "u", "x" * 100_000), (None, "u", "same"), (7, "é", "é\r\n\r\n"), (1, "http://b/", "same")]
 
 
