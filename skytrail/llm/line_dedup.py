@@ -1,10 +1,8 @@
-"""Line dedup: a sharded minimal perfect hash over all distinct line hashes indexes compact arrays
-of fingerprints, counts and keepers; documents probe the arrays, lines are never joined."""
+"""Line dedup: a sharded minimal perfect hash over the distinct hashes of repeated lines indexes compact
+arrays of fingerprints, counts and keepers; documents probe the arrays, lines are never joined."""
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +25,7 @@ def mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct uint64 keys: levels of bit arrays, about 3 bits a key.
+    """Minimal perfect hash of distinct keys of two uint64 words: levels of bit arrays, about 3 bits a key.
 
     At each level a key sets the bit it falls on if no other key does; the rest goes on to the next
     level.  A key's index is the rank of its bit.
@@ -42,26 +40,29 @@ class PerfectHash:
         self.words = words
         self.base = np.concatenate(([0], np.cumsum([len(x) for x in levels]))).astype(np.int64)
 
+    @staticmethod
+    def bit(h: np.ndarray, f: np.ndarray, level: int, n: int) -> np.ndarray:
+        return (mix(h ^ mix(f, 2 * level + 2), 2 * level + 1) % np.uint64(n)).astype(np.int64)
+
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels, level = [], 0
-        while len(keys):
-            n = int(np.ceil(max(64, cls.GAMMA * len(keys)) / 64)) * 64
-            at = (mix(keys, level + 1) % np.uint64(n)).astype(np.int64)
+    def build(cls, h: np.ndarray, f: np.ndarray) -> PerfectHash:
+        levels = []
+        while len(h):
+            n = int(np.ceil(max(64, cls.GAMMA * len(h)) / 64)) * 64
+            at = cls.bit(h, f, len(levels), n)
             alone = np.bincount(at, minlength=n) == 1
             levels.append(np.packbits(alone, bitorder="little").view(np.uint64))
-            keys = keys[~alone[at]]
-            level += 1
+            h, f = h[~alone[at]], f[~alone[at]]
         return cls(levels)
 
-    def index(self, keys: np.ndarray) -> np.ndarray:
+    def index(self, h: np.ndarray, f: np.ndarray) -> np.ndarray:
         """The index of each key, -1 for some keys that are not in the set (others get any index)."""
-        out = np.full(len(keys), -1, np.int64)
-        todo = np.arange(len(keys))
+        out = np.full(len(h), -1, np.int64)
+        todo = np.arange(len(h))
         for level, words in enumerate(self.levels):
             if not len(todo):
                 break
-            at = (mix(keys[todo], level + 1) % np.uint64(len(words) * 64)).astype(np.int64)
+            at = self.bit(h[todo], f[todo], level, len(words) * 64)
             word = words[at >> 6]
             bit = np.uint64(1) << (at & 63).astype(np.uint64)
             hit = (word & bit) != 0
@@ -82,36 +83,38 @@ class PerfectHash:
         return cls(np.split(words, np.cumsum(sizes)[:-1]) if n else [])
 
 
-def fingerprint(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys, 77) >> np.uint64(32)).astype(np.uint32)
-
-
 def line_key(line: bytes) -> bytes:
     return line.strip(WHITE).lower()  # bytes.lower() changes A-Z only
 
 
-def line_hash(key: bytes) -> int | None:
-    """Signed 64-bit hash of a key that has enough code points."""
+def line_hash(key: bytes) -> bytes | None:
+    """128-bit hash of a key that has enough code points."""
     if len(key) < MIN_POINTS or len(key) < 4 * MIN_POINTS and len(key.decode()) < MIN_POINTS:
         return None
-    h = xxhash.xxh3_64_intdigest(key)
-    return h - (1 << 64) if h >> 63 else h
+    return xxhash.xxh3_128_digest(key)
+
+
+OCCURRENCE = pa.schema([("h", pa.int64()), ("f", pa.int64()), ("id", pa.int64()), ("t", pa.binary()), ("line", pa.int32())])
 
 
 def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, id, t, line) of every line with a key: t tells apart texts under one id."""
+    """(id, text, t) to (h, f, id, t, line) of every line with a key: two words of its hash, and the
+    digest t of the whole text, which tells apart texts under one id."""
     for batch in batches:
-        hs, ids, ts, at = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        hashes, sizes, at = [], [], []
+        for text in batch.column(1):
             buf = text.as_buffer() if text.is_valid else None
-            if not buf:
-                continue
-            data = buf.to_pybytes()
-            t = zlib.crc32(data)
-            for i, line in enumerate(data.split(b"\n")):
-                if (h := line_hash(line_key(line))) is not None:
-                    hs.append(h), ids.append(NO_ID if doc is None else doc), ts.append(t), at.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ids, pa.int64()), pa.array(ts, pa.int64()), pa.array(at, pa.int32())], ["h", "id", "t", "line"])
+            before = len(at)
+            if buf:
+                for i, line in enumerate(buf.to_pybytes().split(b"\n")):
+                    if (h := line_hash(line_key(line))) is not None:
+                        hashes.append(h), at.append(i)
+            sizes.append(len(at) - before)
+        words = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+        rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        ids = batch.column(0).take(rows)
+        cols = [pa.array(words[:, 0]), pa.array(words[:, 1]), ids, batch.column(2).take(rows), pa.array(at, pa.int32())]
+        yield pa.RecordBatch.from_arrays(cols, schema=OCCURRENCE)
 
 
 def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -120,20 +123,24 @@ def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1], edges[1:], strict=True) if len(values) else iter(())
 
 
+INDEX = {"mph": "binary", "fps": "binary", "counts": "binary", "keepers": "binary"}
+SHARD = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in INDEX)])
+
+
 def build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, h, n_docs, occ, keeper) sorted by shard become one index row a shard."""
+    """Rows (shard, h, f, n, keeper) sorted by shard become one index row a shard."""
 
     def row(shard: int, parts: list[tuple]) -> pa.RecordBatch:
-        h, n, occ, keep = (np.concatenate(x) for x in zip(*parts, strict=True))
-        h = h.view(np.uint64)
-        mph = PerfectHash.build(h)
-        order = mph.index(h)
+        h, f, n, keep = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, f = h.view(np.uint64), f.view(np.uint64)
+        mph = PerfectHash.build(h, f)
+        order = mph.index(h, f)
         arrays = []
-        for x in (fingerprint(h), np.minimum(n, 2**32 - 1).astype(np.uint32), keep):
+        for x in (f, np.minimum(n, 2**32 - 1).astype(np.uint32), keep):
             a = np.empty_like(x)
             a[order] = x
             arrays.append(a.tobytes())
-        return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "occ": pa.array([int(occ.sum())], pa.int64()), "mph": [mph.dump()], "fps": [arrays[0]], "counts": [arrays[1]], "keepers": [arrays[2]]}, schema=SHARD)
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in (mph.dump(), *arrays))], schema=SHARD)
 
     now, parts = None, []
     for b in batches:
@@ -148,62 +155,71 @@ def build_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(now, parts)
 
 
-SHARD = pa.schema([("shard", pa.int32()), ("occ", pa.int64()), ("mph", pa.binary()), ("fps", pa.binary()), ("counts", pa.binary()), ("keepers", pa.binary())])
-
-
 def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by (shard, salt, kind): an index row, then the occurrences that probe its arrays."""
+    """Sorted by (shard, salt, kind): an index row, then the occurrences that probe its arrays.
+
+    A line that only one document holds is not in the set: it has no index, or another's fingerprint.
+    """
     mph = fps = counts = keepers = None
     for b in batches:
         kind = b.column("kind").to_numpy()
-        h, ids, ts, line = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "id", "t", "line"))
+        h, f, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("h", "f", "id"))
         out = []
         for s, e in runs(np.cumsum(kind == 0) * 2 + (kind != 0)):
             if kind[s] == 0:
                 mph = PerfectHash.load(b.column("mph")[s].as_py())
-                fps, counts, keepers = (np.frombuffer(b.column(c)[s].as_py(), t) for c, t in (("fps", np.uint32), ("counts", np.uint32), ("keepers", np.int64)))
+                fps, counts, keepers = (np.frombuffer(b.column(c)[s].as_py(), t) for c, t in (("fps", np.uint64), ("counts", np.uint32), ("keepers", np.int64)))
                 continue
-            keys = h[s:e].astype(np.int64).view(np.uint64)
-            at = mph.index(keys)
-            if (at < 0).any() or (fps[at] != fingerprint(keys)).any():
-                raise ValueError("a line hash is missing from its shard's index")
-            drop = np.flatnonzero((counts[at] >= 2) & (keepers[at] != ids[s:e])) + s
-            out.append(drop)
-        drop = np.concatenate(out) if out else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[drop].astype(np.int64)), pa.array(ts[drop].astype(np.int64)), pa.array(line[drop].astype(np.int32))], ["id", "t", "line"])
-
-
-def build_index(occ: DataFrame, lines_per_shard: int = 1 << 13, lines_per_task: int = 200_000) -> tuple[DataFrame, int, int]:
-    """The written index, one row a shard: (shard, occ, mph, fps, counts, keepers); its bits; and how
-    many tasks to deal its shards to."""
-    lines = stash(occ.groupBy("h").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count("*").alias("occ")), "lines")
-    n = lines.count()
-    bits = max(2, (n // lines_per_shard).bit_length())
-    tasks = max(int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // lines_per_task)
-    # Only "in one document" or "in more" decides, so the largest id stands for a distinct count.
-    rows = lines.select(shard_of(bits).alias("shard"), "h", F.when(F.col("keeper") < F.col("last"), 2).otherwise(1).cast("long").alias("n"), "occ", "keeper")
-    rows = rows.repartition(tasks, "shard").sortWithinPartitions("shard")
-    return stash(rows.mapInArrow(build_shards, "shard int, occ long, mph binary, fps binary, counts binary, keepers binary"), "index"), bits, tasks
+            words = f[s:e].astype(np.int64).view(np.uint64)
+            at = mph.index(h[s:e].astype(np.int64).view(np.uint64), words)
+            known = np.flatnonzero(at >= 0)
+            known = known[fps[at[known]] == words[known]]
+            out.append(known[(counts[at[known]] >= 2) & (keepers[at[known]] != ids[s:e][known])] + s)
+        drop = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([b.column(c).take(drop) for c in ("id", "t", "line")], ["id", "t", "line"])
 
 
 def shard_of(bits: int) -> F.Column:
     return F.shiftrightunsigned("h", 64 - bits).cast("int")
 
 
+def build_index(occ: DataFrame, lines_per_shard: int = 1 << 13, lines_per_task: int = 200_000, rows_per_probe: int = 4_000_000) -> tuple[DataFrame, DataFrame, int, int]:
+    """The written index of the lines that at least two documents hold, one row a shard: (shard, mph,
+    fps, counts, keepers); (shard, salts), how many tasks probe each shard; the number of shards as
+    bits; and how many tasks to deal them to."""
+    lines = stash(occ.groupBy("h", "f").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count("*").alias("n")), "lines")
+    shared = lines.filter("keeper < last")
+    n = lines.count()
+    bits = max(2, (shared.count() // lines_per_shard).bit_length())
+    tasks = max(int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // lines_per_task)
+    rows = shared.select(shard_of(bits).alias("shard"), "h", "f", "n", "keeper").repartition(tasks, "shard").sortWithinPartitions("shard")
+    index = stash(rows.mapInArrow(build_shards, ", ".join(["shard int", *(f"{c} {t}" for c, t in INDEX.items())])), "index")
+    # A shard that hot lines make large is probed by several tasks, each with the shard's arrays.
+    asked = lines.groupBy(shard_of(bits).alias("shard")).agg(F.ceil(F.sum("n") / rows_per_probe).cast("int").alias("salts"))
+    return index, stash(asked, "asked"), bits, tasks
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (the other columns, as one struct, so that they may have any names), text, id and t, the
+    digest of the whole text; (id, t) is what drops are joined by."""
+    text = F.col("text").cast("string")
+    digest = F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), digest.alias("t"))
+
+
 def dropped_lines(docs: DataFrame, rows_per_probe: int = 4_000_000) -> DataFrame:
     """(id, t, drops): the line numbers that each document loses."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    occ = stash(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(occurrences, "h long, id long, t long, line int"), "occ")
-    index, bits, tasks = build_index(occ)
-    # A shard that hot lines make large is probed by several tasks, each with the shard's arrays.
-    salts = small(index.select("shard", F.ceil(F.col("occ") / rows_per_probe).cast("int").alias("salts")), 1 << bits)  # one row a shard
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("mph", "binary"), ("fps", "binary"), ("counts", "binary"), ("keepers", "binary"))]
+    bounded_batches(docs.sparkSession)
+    occ = stash(keyed(docs).select("id", "text", "t").mapInArrow(occurrences, "h long, f long, id long, t binary, line int"), "occ")
+    index, asked, bits, tasks = build_index(occ, rows_per_probe=rows_per_probe)
+    salts = small(index.select("shard").join(asked, "shard"), 1 << bits)  # one row a shard
     asks = occ.withColumn("shard", shard_of(bits)).join(salts, "shard")
-    asks = asks.select("shard", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "h", "id", "t", "line", *empty)
-    shards = index.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *(F.lit(0).cast(t).alias(c) for c, t in (("h", "long"), ("id", "long"), ("t", "long"), ("line", "int"))), "mph", "fps", "counts", "keepers")
+    key = F.pmod(F.xxhash64("id", "t"), F.col("salts")).cast("int").alias("salt")
+    asks = asks.select("shard", key, F.lit(1).alias("kind"), "h", "f", "id", "t", "line", *(F.lit(None).cast(t).alias(c) for c, t in INDEX.items()))
+    blank = [F.lit(v).cast(t).alias(c) for c, t, v in (("h", "long", 0), ("f", "long", 0), ("id", "long", 0), ("t", "binary", None), ("line", "int", 0))]
+    shards = index.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *blank, *INDEX)
     both = shards.union(asks).repartition(tasks, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    found = both.mapInArrow(probe, "id long, t long, line int")
+    found = both.mapInArrow(probe, "id long, t binary, line int")
     return found.groupBy("id", "t").agg(F.collect_set("line").alias("drops"))
 
 
@@ -225,14 +241,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased.  Keys of at
     least ten code points that at least two documents hold stay only in the smallest doc_id.
-    Null or empty text: one empty line, kept as it is.  Null doc_id: sorts after all others.
-    Repeated rows are one document.  Other columns pass unchanged.
+    Null or empty text: one empty line, kept as it is.  Rows of one doc_id are one document, so that
+    what only they hold stays in each of them; so are all rows of null doc_id, which sorts after all
+    others.  Other columns pass unchanged, whatever their names.
     """
     drops = stash(dropped_lines(docs), "drops")
-    text = F.col("text").cast("string")
-    # The row travels as one struct, so that its columns may have any names.
-    keyed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("t"))
-    joined = keyed.join(small(drops, drops.count()), ["id", "t"], "left").select("row", "text", "drops")
+    weight = drops.agg(F.coalesce(F.sum(F.size("drops") + 4), F.lit(0))).first()[0]  # in long integers
+    joined = keyed(docs).join(small(drops, weight), ["id", "t"], "left").select("row", "text", "drops")
     out = joined.mapInArrow(apply_drops, f"row {joined.schema['row'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
     kept = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*kept, F.col("n_lines").alias("_n_lines"), F.col("n_dropped").alias("_n_dropped"))
