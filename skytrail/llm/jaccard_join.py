@@ -31,6 +31,8 @@ _PERM = np.random.default_rng(7).integers(1, 2**63, KEYS, dtype=np.uint64) | np.
 SKETCH_BITS = 24
 #: Longer lists are cut into blocks that are paired in tasks of their own.
 LIST_ROWS = 100_000
+#: The entries of 56 bytes are dealt to as many tasks as this makes of them.
+ENTRIES_PER_TASK = 2_000_000
 
 
 def _minima(h: np.ndarray, starts: np.ndarray, factor: np.uint64) -> np.ndarray:
@@ -289,6 +291,8 @@ def list_pairs(num: int, den: int, list_rows: int):
 
 
 def block_join(num: int, den: int):
+    """Pairs of written blocks (x, y, same) of one list become candidate pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x, y, same in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -300,6 +304,8 @@ def block_join(num: int, den: int):
 
 
 def token_rows(words: int):
+    """(id, text) to (id, toks): the sorted distinct hashes of the whole set, 8 bytes each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, h, bounds in shingle_sets(b.column(1), words):
@@ -309,6 +315,8 @@ def token_rows(words: int):
 
 
 def linked(num: int, den: int):
+    """Keeps the pairs (a, b, ta, tb) whose sets are within the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -325,6 +333,8 @@ def linked(num: int, den: int):
 
 
 def possible(num: int, den: int):
+    """Keeps the pairs (a, b, na, nb, sa, sb) that the parities of their sets do not rule out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, _, na, nb, sa, sb = (c.to_pylist() for c in b.columns)
@@ -387,7 +397,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     part = stash(part, "part")
     index = texts.mapInArrow(prefixes(words, num, den, sketch_bits, levels), "id long, n long, p0 long, p1 long, toks array<long>").filter("n > 0")
     index = index.join(small(part, part.count()), "id").select("id", "n", "comp", "p0", "p1", F.posexplode("toks").alias("pos", "tok"))
-    entries = index.withColumn("pos", F.col("pos").cast("long")).select(*ENTRY).repartition("tok").sortWithinPartitions("tok", "n", "pos", "id")
+    expected = nodes.agg(F.sum(F.ceil(F.col("n") * (den - num) / den) + 1)).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), expected // ENTRIES_PER_TASK)
+    entries = index.withColumn("pos", F.col("pos").cast("long")).select(*ENTRY).repartition(tasks, "tok").sortWithinPartitions("tok", "n", "pos", "id")
     found = stash(entries.mapInArrow(list_pairs(num, den, list_rows), FOUND_DDL), "found")
     x, y = (found.filter("block is not null").select("tok", *(F.col(c).alias(f"{s}_{c}") for c in ("seq", "lo", "hi", "block"))) for s in "xy")
     far = x.join(y, "tok").filter(f"x_seq <= y_seq and {den} * x_hi >= {num} * y_lo").select("x_block", "y_block", F.expr("x_seq = y_seq").alias("same"))
@@ -400,7 +412,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; the columns of docs."""
+    """One document of each component, that with the smallest doc_id; the columns of docs.
+
+    Rows that repeat the doc_id that stays, all stay; rows of null doc_id stay, as nothing orders them,
+    and so do documents without words, which are near to nothing.
+    """
     found = jaccard_components(docs.select("doc_id", "text"), words, num, den)
     gone = stash(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 GROUP_BYTES = 1 << 20
+LONG_WORD = 64  # bytes; longer words are hashed one by one
 _RNG = np.random.default_rng(20240229)
-_CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_CODES[65:91] = _CODES[97:123]  # A-Z count as a-z
-_BASE = 0x9E3779B97F4A7C15
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]  # A-Z count as a-z
 _STEP = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-_POWERS: list[np.ndarray] = []
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # masks of the first bytes of eight
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,19 +23,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, GROUP_BYTES + 1)
-        _POWERS[:] = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _POWERS.append(np.multiply.accumulate(a))
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def _words(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of bytes b, and where it starts; no word goes over one of the cuts."""
+    """Hash of each word of bytes b, and where it starts; no word goes over one of the cuts.
+
+    Words are mixed eight bytes at a time, each step one to one in those bytes; words of one length
+    of up to eight bytes never collide.
+    """
     black = ((b - np.uint8(9)) > 4) & (b != 32)
     first, last = black.copy(), black.copy()
     first[1:] &= ~black[:-1]
@@ -43,11 +37,20 @@ def _words(b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first[cuts] = black[cuts]
     last[cuts - 1] = black[cuts - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(len(b) + 1)
-    total = np.empty(len(b) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_CODES[b] * up[:-1], out=total[1:])
-    return mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * _STEP[-1]), s
+    low = np.zeros(len(b) + 8, np.uint8)
+    np.take(_LOWER, b, out=low[: len(b)])
+    eight = np.ndarray(len(b) + 1, "<u8", low.data, 0, (1,))  # the eight bytes from each place on
+    size = e - s
+    out = mix(size.astype(np.uint64) * _STEP[-1])
+    at = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(at):
+        out[at] = mix((out[at] ^ (eight[s[at] + done] & _FIRST[np.minimum(8, size[at] - done)])) * _STEP[-2])
+        done += 8
+        at = at[size[at] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(low[s[i] : e[i]])
+    return out, s
 
 
 def _long_words(b: np.ndarray) -> np.ndarray:
