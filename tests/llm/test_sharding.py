@@ -18,9 +18,9 @@ def test_schedule_is_that_of_items_one_by_one():
     rng = random.Random(2)
     for _ in range(200):
         shards = rng.choice((1, 2, 5, 24))
-        counts = {rng.choice((0, 1, 2, 7, 50, 51, 1000)): rng.randrange(1, 400) for _ in range(rng.randrange(1, 6))}
+        counts = {rng.choice((0, 1, 2, 7, 50, 51, 1000, 4095, 4096, 70_001, 70_002)): rng.randrange(1, 400) for _ in range(rng.randrange(1, 6))}
         load, seen = defaultdict(int), Counter()
-        for size, lo, hi, s in sharding.schedule(list(counts.items()), shards):
+        for size, lo, hi, s in sharding.schedule(sorted(counts.items(), reverse=True), shards):
             assert lo == seen[size] and hi > lo
             seen[size] = hi
             load[s] += size * (hi - lo)
@@ -54,3 +54,18 @@ def test_documents(documents):
 def test_odd_rows(odd, none):
     check(sharding.shard_by_size(odd, 3).collect(), {r.doc_id: r.text for r in odd.collect()}, 3)
     assert sharding.shard_by_size(none).collect() == []
+
+
+def test_large_sizes_are_not_rounded(spark):
+    """Loads are those of plain LPT over the true sizes, which go from 4 KB to 400 KB, with copies and ties."""
+    rng = random.Random(4)
+    texts = [chr(97 + i % 26) * rng.randrange(4000, 400_000) for i in range(150)] + ["tie" + chr(65 + i) for i in range(20)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[::7])]
+    got = sharding.shard_by_size(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(got, dict(rows), 24)
+    loads, groups = Counter(), Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    for _, t in rows:
+        groups[t] += len(t) + 8
+    assert sorted(loads[s] for s in range(24)) == plain(list(groups.values()), 24)
