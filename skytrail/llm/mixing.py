@@ -8,6 +8,7 @@ import math
 from array import array
 from bisect import bisect_left
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,18 +111,29 @@ def source_key(column: str = "source") -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
 
 
+def digests(docs: DataFrame) -> list[Column]:
+    """Two hashes of a row's other columns, which tell apart rows of one source and doc_id."""
+    others = [c for c in docs.columns if c not in ("source", "doc_id")]
+    values = [F.to_json(F.struct(c)) if "map<" in docs.schema[c].dataType.simpleString() else F.col(c) for c in others]
+    return [F.xxhash64(F.lit(k), *values, *[F.col(c).isNull() for c in others]).alias(f"_t{k}") for k in (0, 1)]
+
+
 def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 42, period: int | None = None) -> DataFrame:
-    """source, doc_id, phase, block, slot and position (from 0, no gaps) of every document.
+    """source, doc_id, phase, block, slot and position (from 0, no gaps) of every row.
 
     weights: target weights by source; a source without one has the least of them.  Without weights
     they are the square roots of the sources' sizes.  Within a source documents are in hash order.
     In each phase, every source is less than a block off its part at every slot, by the weights as
-    they are asked for (rounded only if a period is given); of weight 0 they go last.  No document is
-    left out or repeated: sources that run out leave, and the others go on.  Rows that repeat a
-    (source, doc_id) share one position; null ids are one document a source; texts do not matter.
+    they are asked for (rounded only if a period is given); of weight 0 they go last.  No row is left
+    out: sources that run out leave, and the others go on.  Rows that repeat a (source, doc_id) have
+    a position each, and so have rows of null ids; null sources are one source.
     """
+    return _positions(docs, weights, block, seed, period).select("source", "doc_id", "phase", "block", "slot", "position")
+
+
+def _positions(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, seed: int = 42, period: int | None = None) -> DataFrame:
     spark = docs.sparkSession
-    rows = stash(docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("_k", source_key()), "sources")
+    rows = stash(docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), *digests(docs)).withColumn("_k", source_key()), "sources")
     sizes = dict(tuple(r) for r in rows.groupBy("_k").count().limit(MAX_SOURCES + 1).collect())
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -141,7 +153,7 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
             if n and first + n == -(-sizes[k] // block) and sizes[k] % block:
                 slot = ph["start"] + (n - 1) // w * ph["period"] + at[(n - 1) % w]
                 short.append((slot, block - sizes[k] % block))
-    ranked = bucketed_rank(rows, ["_k"], F.xxhash64("doc_id", F.lit(seed)), ["doc_id"], "_rank", sum(sizes.values()))
+    ranked = bucketed_rank(rows, ["_k"], F.xxhash64(F.coalesce("doc_id", "_t0"), F.lit(seed)), ["doc_id", "_t0", "_t1"], "_rank", sum(sizes.values()))
     ranked = ranked.withColumn("block", F.expr(f"_rank div {block}"))
     # Turns are bounded by MAX_SOURCES; slots are at most one a block, and broadcast only while few.
     turn = F.broadcast(spark.createDataFrame(turns, "_k string, phase int, _turn int, _from long, _to long, _w long, _start long, _period long"))
@@ -153,22 +165,32 @@ def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block:
     gaps = F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(n).cast("long").alias("n")) for s, n in sorted(short)])
     before = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, g: a + F.when(g["s"] < F.col("slot"), g["n"]).otherwise(F.lit(0).cast("long"))) if short else F.lit(0)
     position = F.col("slot") * block + F.expr(f"_rank % {block}") - before
-    return got.select("source", "doc_id", "phase", "block", "slot", position.cast("long").alias("position"))
+    return got.select("source", "doc_id", "_k", "_t0", "_t1", "phase", "block", "slot", position.cast("long").alias("position"))
 
 
 def _placed(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     """Each row of docs as `row`, beside its _phase, _slot and _position."""
-    order = stash(interleave(docs, weights), "order")
-    n = order.count()
-    places = order.select(source_key().alias("_k"), F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in PLACE])
-    rows = docs.select(F.struct(*docs.columns).alias("row"), source_key().alias("k"), F.col("doc_id").cast("long").alias("d"))
-    joined = rows.join(small(places, n), (rows["k"] == places["_k"]) & rows["d"].eqNullSafe(places["_id"]))
-    return joined.select("row", *[f"_{c}" for c in PLACE])
+    order = stash(_positions(docs, weights), "order")
+    key = ["_k", "_id", "_t0", "_t1"]
+    places = order.select("_k", F.col("doc_id").alias("_id"), "_t0", "_t1", *[F.col(c).alias(f"_{c}") for c in PLACE])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), source_key().alias("_k"), F.col("doc_id").cast("long").alias("_id"), *digests(docs))
+
+    def on(a: DataFrame, b: DataFrame) -> Column:
+        return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in key])
+
+    # Rows that are equal in all columns are one row with several places.
+    again = stash(places.groupBy(*key).count().filter("count > 1").select(*key), "repeated")
+    n = again.count()
+    if not n:
+        return rows.join(small(places, order.count()), on(rows, places)).select("row", *[f"_{c}" for c in PLACE])
+    once = rows.join(small(again, n), on(rows, again), "left_anti")
+    more = rows.join(small(again, n), on(rows, again), "left_semi").dropDuplicates(key)
+    return once.union(more).alias("r").join(places.alias("p"), reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in key])).select("row", *[f"_{c}" for c in PLACE])
 
 
 def place(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """All rows of docs with their phase, slot and position in the mixture, which hang on the set of
-    (source, doc_id) alone and not on the order in which files are read."""
+    """All rows of docs with their phase, slot and position in the mixture, which hang on the rows alone
+    and not on the order in which files are read."""
     return _placed(docs, weights).select("row.*", *[F.col(f"_{c}").alias(c) for c in PLACE])
 
 

@@ -91,7 +91,19 @@ def test_mix_keeps_all_rows(documents):
 
 def test_odd_rows(odd, none):
     rows = mixing.interleave(odd, block=2).collect()
-    assert len(rows) == len({(r.source, r.doc_id) for r in rows}) == 11
-    assert sorted(r.position for r in rows) == list(range(11)) and None in {r.source for r in rows}
+    assert sorted(r.position for r in rows) == list(range(odd.count())) and None in {r.source for r in rows}
+    key = lambda r: (r.source or "", r.doc_id or 0)
+    assert sorted(map(key, rows)) == sorted(map(key, odd.collect()))
     assert mixing.mix(odd).count() == odd.count()
     assert mixing.interleave(none).collect() == [] and mixing.mix(none).collect() == []
+
+
+def test_repeated_rows_are_kept(spark):
+    """Equal rows, rows of one id with other texts, and null ids have a place each, in mix() and place() too."""
+    rows = [(1, "a", "x", None), (1, "a", "x", None), (1, "a", None, "x"), (1, "b", "x", None), (None, "a", "y", None), (None, "a", "z", None), (2, None, "x", {"k": 1}), (2, None, "x", {"k": 1}), (2, None, "x", {"k": 2})]
+    docs = spark.createDataFrame([(i, s, t if not isinstance(t, dict) else None, t if isinstance(t, dict) else None) for i, s, t, _ in rows] + [(3, "c", "x", {"k": 1})] * 3, "doc_id long, source string, text string, _k map<string,int>")
+    full = lambda df: sorted(repr((r.doc_id, r.source, r.text, r._k)) for r in df.collect())
+    assert full(mixing.mix(docs)) == full(docs)
+    placed = mixing.place(docs)
+    assert full(placed) == full(docs) and sorted(r.position for r in placed.collect()) == list(range(12))
+    assert mixing.interleave(docs).count() == 12
