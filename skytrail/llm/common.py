@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Upper bounds of what may be broadcast (rows of two or three longs each).
+#: Upper bound of what may be broadcast: rows of two or three longs, or as many longs in arrays.
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests (unset) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset and the master is local,
+    as in tests, one of our own; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         path = _OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="skytrail-"))
     return path.rstrip("/")
@@ -25,7 +28,11 @@ _OWN: dict[str, str] = {}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Texts can be very long, so Arrow batches are bounded by rows and bytes."""
+    """Texts can be very long, so Arrow batches are bounded by rows and bytes.
+
+    Spark reads these settings when a query runs, after its operators have returned; so they are set
+    for the session and stay.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

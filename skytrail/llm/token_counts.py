@@ -21,9 +21,8 @@ RULES = ("first", "last", "most")
 class Spans:
     """A byte-level BPE whose tokens' byte lengths are known, and so their character spans."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f)}
+    def __init__(self, vocabulary: bytes, pattern: str):
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in vocabulary.splitlines())}
         self.bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
@@ -64,15 +63,15 @@ def line_bounds(text: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def spans_of(path: str, pattern: str) -> Spans:
-    return Spans(path, pattern)
+def spans_of(vocabulary: bytes, pattern: str) -> Spans:
+    return Spans(vocabulary, pattern)
 
 
-def count_batches(path: str, pattern: str, rule: str):
+def count_batches(vocabulary: bytes, pattern: str, rule: str):
     """Rows: (id, field columns...).  One field: its lines are the sections; several: the fields are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans = spans_of(path, pattern)
+        spans = spans_of(vocabulary, pattern)
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
             nulls: list[np.ndarray] = []
@@ -106,8 +105,10 @@ def count_tokens(docs: DataFrame, id_col: str, fields: list[str], path: str, pat
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     bounded_batches(docs.sparkSession)
+    with open(path, "rb") as f:
+        vocabulary = f.read()  # read here, so that the executors need no file
     cols = [F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields))]
-    return docs.select(*cols).mapInArrow(count_batches(path, pattern, rule), "doc_id long, section long, start long, stop long, n_tokens long, n_crossing long")
+    return docs.select(*cols).mapInArrow(count_batches(vocabulary, pattern, rule), "doc_id long, section long, start long, stop long, n_tokens long, n_crossing long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,19 @@
 import os
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
 from skytrail.llm import common
 
 
 def test_shared_dir_is_the_session_setting_or_one_of_our_own():
-    session = lambda value: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: value), sparkContext=SimpleNamespace(applicationId="app"))
-    assert common.shared_dir(session("file:///shared/")) == "file:///shared"
+    session = lambda value, master="local[2]": SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: value), sparkContext=SimpleNamespace(applicationId="app", master=master))
+    assert common.shared_dir(session("file:///shared/", "spark://host:7077")) == "file:///shared"
     own = common.shared_dir(session(None))
     assert os.path.isdir(own) and common.shared_dir(session(None)) == own
+    with pytest.raises(ValueError):
+        common.shared_dir(session(None, "spark://host:7077"))
 
 
 def test_bucketed_rank(spark):
