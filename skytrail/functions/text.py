@@ -108,9 +108,11 @@ def number_array(c: Column | str) -> Column:
 
 
 def natural_key(c: Column | str) -> Column:
-    """Sorts texts with digit runs as numbers: runs are padded to 18 digits, letters lowered."""
+    """Sorts texts with digit runs as numbers, letters lowered.  A run goes by the number of its digits
+    without leading zeros, in nine places, then by the digits, so that runs may have any length."""
     parts = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
-    pad = F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 18, "0")).otherwise(p))
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    pad = F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(F.length(digits(p)).cast("string"), 9, "0"), digits(p))).otherwise(p))
     return F.array_join(pad, "")
 
 

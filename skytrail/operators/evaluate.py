@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import reduce
 
@@ -84,14 +85,11 @@ def soft_dtw(truth: np.ndarray, pred: np.ndarray, yaw_weight: float, gamma: floa
     """Soft dynamic time warping of two (n, 4) state arrays, by anti-diagonals of the cost matrix.
 
     Cell (i, j) needs its left, upper and upper-left neighbours, which lie on the two diagonals
-    before, so a whole diagonal is one vector operation.
+    before, so a whole diagonal is one vector operation, and no more than three are held.
     """
     n, m = len(pred), len(truth)
     if not n or not m:
         return math.nan
-    delta = pred[:, None, :] - truth[None, :, :]
-    delta[..., 3] = yaw_weight * (np.mod(delta[..., 3] + np.pi, 2 * np.pi) - np.pi)
-    cost = np.sqrt(np.einsum("ijk,ijk->ij", delta, delta))
     # Diagonals are indexed by i, from 0 to n; outside the matrix they are infinite.
     older, old = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
     older[0] = 0.0
@@ -101,8 +99,10 @@ def soft_dtw(truth: np.ndarray, pred: np.ndarray, yaw_weight: float, gamma: floa
         low = np.minimum(np.minimum(a, b), c)
         base = np.where(np.isfinite(low), low, 0.0)
         soft = base - gamma * np.log(np.exp((base - a) / gamma) + np.exp((base - b) / gamma) + np.exp((base - c) / gamma))
+        delta = pred[i - 1] - truth[d - i - 1]
+        delta[:, 3] = yaw_weight * (np.mod(delta[:, 3] + np.pi, 2 * np.pi) - np.pi)
         new = np.full(n + 1, np.inf)
-        new[i] = cost[i - 1, d - i - 1] + np.where(np.isfinite(low), soft, np.inf)
+        new[i] = np.sqrt(np.einsum("ij,ij->i", delta, delta)) + np.where(np.isfinite(low), soft, np.inf)
         older, old = old, new
     return float(old[n])
 
@@ -121,16 +121,46 @@ def soft_dtw_scores(frames: DataFrame, yaw_weight: float = 0.1, gamma: float = 0
     return out.withColumn("ndtw", angles.ndtw("dtw", "num_gt", eta, clip))
 
 
-def segment_hits(segments: DataFrame, triangles: DataFrame, on: list[str]) -> DataFrame:
-    """Segments (p0*, p1*) with, for each, whether a triangle (a*, b*, c*) of the same scene is hit.
+def segment_hits(segments: DataFrame, triangles: DataFrame, on: list[str], key: list[str]) -> DataFrame:
+    """(key, distance): the segments (p0*, p1*) that meet a triangle (a*, b*, c*) of the same scene, and
+    how far from p0 the first hit is.
 
-    Möller-Trumbore as plain columns; triangles of a scene travel as one array beside its segments.
+    Triangles lie in the cells of a grid that is two to four times as wide as they are, a power of two,
+    so in at most eight; segments are cut into pieces no longer than a cell, once for each width that their
+    scene has.  Cells are joined by equality, and Möller-Trumbore runs over plain columns.  A piece and
+    a triangle that share several cells meet in the first of them alone.
     """
-    tri = triangles.groupBy(*on).agg(F.collect_list(F.struct(*[f"{v}{c}" for v in "abc" for c in "xyz"])).alias("_tris"))
-    joined = segments.join(tri, on, "left")
     p0, p1 = ([F.col(f"p{i}{c}") for c in "xyz"] for i in (0, 1))
-    length = angles.distance(p0, p1)
-    d = [(b - a) / length for a, b in zip(p0, p1, strict=True)]
+    names = [f"{v}{c}" for v in "abc" for c in "xyz"]
+    tri = triangles.select(*on, *[F.col(n).cast("double").alias(n) for n in names]).dropna()
+    tri = tri.withColumns({f"{m}{c}": f(*[f"{v}{c}" for v in "abc"]) for c in "xyz" for m, f in (("_min", F.least), ("_max", F.greatest))})
+    extent = F.greatest(*[F.col(f"_max{c}") - F.col(f"_min{c}") for c in "xyz"], F.lit(1e-6))
+    tri = tri.withColumn("_width", F.pow(F.lit(2.0), F.ceil(F.log2(extent)) + 1))
+    widths = tri.select(*on, "_width").distinct()
+
+    def spread(df: DataFrame, prefix: str, most: int) -> DataFrame:
+        """A row for each cell of the box _min.. to _max.., which is at most `most` cells wide."""
+        at = {f"{prefix}{c}": F.floor(F.col(f"_min{c}") / F.col("_width")) for c in "xyz"}
+        offsets = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", o, strict=True)]) for o in itertools.product(range(most), repeat=3)])
+        df = df.withColumns(at).withColumn("_o", F.explode(offsets))
+        df = df.withColumns({f"_c{c}": F.col(f"{prefix}{c}") + F.col("_o")[c] for c in "xyz"})
+        return df.filter(" and ".join(f"_c{c} <= floor(_max{c} / _width)" for c in "xyz")).drop("_o", *[f"{m}{c}" for m in ("_min", "_max") for c in "xyz"])
+
+    tri = spread(tri, "_t", 2)
+    seg = segments.select(*on, *key, *[F.col(f"p{i}{c}").cast("double").alias(f"p{i}{c}") for i in (0, 1) for c in "xyz"]).withColumn("_len", angles.distance(p0, p1)).filter("_len > 1e-12").join(widths, on)
+    seg = seg.withColumn("_n", F.greatest(F.ceil(F.col("_len") / F.col("_width")), F.lit(1)))
+    seg = seg.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    slack = 1e-6
+    for c in "xyz":
+        ends = [F.col(f"p0{c}") + (F.col(f"p1{c}") - F.col(f"p0{c}")) * ((F.col("_i") + k) / F.col("_n")) for k in (0, 1)]
+        seg = seg.withColumns({f"_min{c}": F.least(*ends) - slack, f"_max{c}": F.greatest(*ends) + slack})
+    # Many tasks share the work, even where a few segments make few rows.
+    tasks = int(seg.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = spread(seg, "_s", 3).repartition(tasks, *key, "_i").join(tri, [*on, "_width", "_cx", "_cy", "_cz"])
+    both = both.filter(reduce(Column.__and__, [F.col(f"_c{c}") == F.greatest(f"_s{c}", f"_t{c}") for c in "xyz"]))
+    # One step after another, as a single expression would be too long for generated code.
+    vector = lambda name: [F.col(f"{name}{k}") for k in "xyz"]
+    columns = lambda name, values: {f"{name}{k}": v for k, v in zip("xyz", values, strict=True)}
 
     def cross(u, v):
         return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
@@ -138,31 +168,78 @@ def segment_hits(segments: DataFrame, triangles: DataFrame, on: list[str]) -> Da
     def dot(u, v):
         return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
 
-    def hit(t):
-        a, b, c = ([t[f"{v}{k}"] for k in "xyz"] for v in "abc")
-        e1, e2 = [y - x for x, y in zip(a, b, strict=True)], [y - x for x, y in zip(a, c, strict=True)]
-        h = cross(d, e2)
-        det = dot(e1, h)
-        s = [x - y for x, y in zip(p0, a, strict=True)]
-        u = dot(s, h) / det
-        q = cross(s, e1)
-        v, at = dot(d, q) / det, dot(e2, q) / det
-        inside = (u >= 0) & (v >= 0) & (u + v <= 1) & (at >= -1e-8) & (at <= length + 1e-8)
-        return F.when(F.abs(det) > 1e-14, inside).otherwise(F.lit(False))
+    def less(u, v):
+        return [x - y for x, y in zip(u, v, strict=True)]
 
-    flag = F.when(length <= 1e-12, False).otherwise(F.coalesce(F.exists("_tris", hit), F.lit(False)))
-    return joined.withColumn("hit", flag).drop("_tris")
+    a, b, c = (vector(v) for v in "abc")
+    both = both.withColumns(columns("_d", [x / F.col("_len") for x in less(p1, p0)]) | columns("_e", less(b, a)) | columns("_f", less(c, a)) | columns("_s", less(p0, a)))
+    both = both.withColumns(columns("_h", cross(vector("_d"), vector("_f"))) | columns("_q", cross(vector("_s"), vector("_e"))))
+    both = both.withColumn("_det", dot(vector("_e"), vector("_h"))).filter(F.abs("_det") > 1e-14)
+    both = both.withColumns({"_u": dot(vector("_s"), vector("_h")) / F.col("_det"), "_v": dot(vector("_d"), vector("_q")) / F.col("_det"), "_at": dot(vector("_f"), vector("_q")) / F.col("_det")})
+    inside = "_u >= 0 and _v >= 0 and _u + _v <= 1 and _at >= -1e-8D and _at <= _len + 1e-8D"
+    return both.filter(inside).groupBy(*key).agg(F.greatest(F.min("_at"), F.lit(0.0)).alias("distance"))
 
 
 def collisions(frames: DataFrame, triangles: DataFrame, key: str = "episode_index") -> DataFrame:
     """cr of each episode: 1 if a step of the predicted path meets its scene's mesh, 0 if none does,
-    NaN if the scene has no mesh."""
-    w = Window.partitionBy(key).orderBy("frame_index")
-    seg = frames.select(key, "env_id", *[F.col(q).alias(f"p0{c}") for c, q in zip("xyz", PXYZ, strict=True)], *[F.lead(q).over(w).alias(f"p1{c}") for c, q in zip("xyz", PXYZ, strict=True)])
-    hits = segment_hits(seg.filter("p1x is not null"), triangles, ["env_id"]).groupBy(key).agg(F.max(F.col("hit").cast("double")).alias("_hit"))
+    NaN if the scene has no mesh; error says so ("no mesh"), else it is null."""
+    hits = segment_hits(steps(frames, key), triangles, ["env_id"], [key, "frame_index"]).select(key).distinct().withColumn("_hit", F.lit(1.0))
     scenes = triangles.select("env_id").distinct().withColumn("_mesh", F.lit(True))
-    eps = frames.select(key, "env_id").distinct().join(scenes, "env_id", "left").join(hits, key, "left")
-    return eps.select(key, F.when(F.col("_mesh").isNull(), F.lit(math.nan)).otherwise(F.coalesce("_hit", F.lit(0.0))).alias("cr"))
+    eps = frames.groupBy(key).agg(F.min("env_id").alias("env_id")).join(scenes, "env_id", "left").join(hits, key, "left")
+    return eps.select(key, F.when(F.col("_mesh").isNull(), F.lit(math.nan)).otherwise(F.coalesce("_hit", F.lit(0.0))).alias("cr"), F.when(F.col("_mesh").isNull(), "no mesh").alias("error"))
+
+
+def steps(frames: DataFrame, key: str = "episode_index") -> DataFrame:
+    """The segments (p0*, p1*) of the predicted path, each under its first frame's index."""
+    w = Window.partitionBy(key).orderBy("frame_index")
+    pairs = list(zip("xyz", PXYZ, strict=True))
+    return frames.select(key, "frame_index", "env_id", *[F.col(q).alias(f"p0{c}") for c, q in pairs], *[F.lead(q).over(w).alias(f"p1{c}") for c, q in pairs]).filter("p1x is not null")
+
+
+def path_scores(frames: DataFrame, thresholds: list[float], key: str = "episode_index") -> DataFrame:
+    """The scores of both paths in one shuffle: an episode's points travel as two sorted arrays.
+
+    num_gt, num_pred, gt_length, pred_length, tcr_i, avg_tcr, end_distance and nsp as the operators
+    path_length, coverage, end_distance and progress give them.
+    """
+    point = lambda cols: F.struct("frame_index", *[F.col(c).cast("double").alias(k) for c, k in zip(cols, "xyz", strict=True)])
+    gather = lambda cols, name: F.array_sort(F.collect_list(F.when(F.col(cols[0]).isNotNull(), point(cols)))).alias(name)
+    last = [F.max_by(c, "frame_index").alias(f"_last_{c}") for c in XYZ + PXYZ]
+    kept = [F.min(c).alias(c) for c in ("task", "split", "env_id") if c in frames.columns]
+    e = frames.groupBy(key).agg(gather(XYZ, "_g"), gather(PXYZ, "_p"), F.count("*").alias("_rows"), *last, *kept)
+    square = lambda a, b: reduce(Column.__add__, [(a[c] - b[c]) * (a[c] - b[c]) for c in "xyz"])
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    n = {k: F.size(k) for k in ("_g", "_p")}
+    lengths = lambda k: F.when(n[k] > 1, F.zip_with(F.slice(k, 1, n[k] - 1), F.slice(k, 2, n[k] - 1), lambda a, b: F.sqrt(square(a, b)))).otherwise(F.array().cast("array<double>"))
+    e = e.withColumns({"_gl": lengths("_g"), "_pl": lengths("_p"), "_d2": F.transform("_g", lambda a: F.array_min(F.transform("_p", lambda b: square(a, b))))})
+    # The true path's segments: where each begins, its length, and the spot nearest to the predicted end.
+    end = F.struct(*[F.col(f"_last_{q}").alias(c) for c, q in zip("xyz", PXYZ, strict=True)])
+    e = e.withColumn("_end", end).withColumn("_before", F.aggregate("_gl", F.array(F.lit(0.0)), lambda s, v: F.array_append(s, F.element_at(s, -1) + v)))
+
+    def spot(v: Column, i: Column) -> Column:
+        a, b = F.get("_g", i), F.get("_g", i + 1)
+        dot = reduce(Column.__add__, [(F.col("_end")[c] - a[c]) * (b[c] - a[c]) for c in "xyz"])
+        t = F.least(F.greatest(dot / (v * v), F.lit(0.0)), F.lit(1.0))
+        off = reduce(Column.__add__, [F.pow(a[c] + t * (b[c] - a[c]) - F.col("_end")[c], 2) for c in "xyz"])
+        return F.when(v * v > 1e-12, F.struct(off.alias("off"), i.alias("i"), (F.get("_before", i) + t * v).alias("at")))
+
+    best = F.array_min(F.array_compact(F.transform("_gl", spot)))["at"]
+    whole = F.element_at("_before", -1)
+    nsp = F.when(n["_g"] < 2, F.lit(math.nan)).when(best.isNull() | (whole <= 1e-12), 0.0).otherwise(F.least(F.greatest(best / whole, F.lit(0.0)), F.lit(1.0)))
+    within = lambda t: F.size(F.filter("_d2", lambda v: v <= t * t))
+    hits = [F.when(n["_g"] > 0, within(t).cast("double") / n["_g"]) for t in thresholds]
+    out = e.select(
+        key,
+        *[c for c in ("task", "split", "env_id") if c in frames.columns],
+        n["_g"].cast("long").alias("num_gt"),
+        n["_p"].cast("long").alias("num_pred"),
+        *[h.alias(f"tcr_{i}") for i, h in enumerate(hits)],
+        nsp.alias("nsp"),
+        angles.distance([F.col(f"_last_{c}") for c in XYZ], [F.col(f"_last_{c}") for c in PXYZ]).alias("end_distance"),
+        F.when(n["_g"] > 1, total("_gl")).otherwise(math.nan).alias("gt_length"),
+        F.when(n["_p"] > 1, total("_pl")).otherwise(math.nan).alias("pred_length"),
+    )
+    return out.withColumn("avg_tcr", reduce(Column.__add__, [F.col(f"tcr_{i}") for i in range(len(thresholds))]) / len(thresholds))
 
 
 METRICS = ["avg_tcr", "ndtw", "nsp", "sr", "cr", "spl", "cspl"]
@@ -172,13 +249,8 @@ def episode_metrics(frames: DataFrame, thresholds: list[float] = (1.0, 2.0, 5.0)
     """One record an episode with all scores.  frames: task, split, env_id, episode_index,
     frame_index, true x, y, z, a and predicted px, py, pz, pa (null beyond the end of either)."""
     f = limited(frames, max_len, stride)
-    info = f.groupBy("episode_index").agg(F.min("task").alias("task"), F.min("split").alias("split"), F.min("env_id").alias("env_id"), F.count("x").alias("num_gt"), F.count("px").alias("num_pred"))
-    pred = f.filter("px is not null").select("episode_index", "frame_index", *PXYZ)
-    true = f.filter("x is not null").select("episode_index", "frame_index", *XYZ)
-    out = info.join(coverage(f, list(thresholds)), "episode_index", "left")
-    for part in (soft_dtw_scores(f, yaw_weight, gamma, eta).drop("num_gt"), progress(f), end_distance(f), path_length(true, out="gt_length"), path_length(pred, cols=PXYZ, out="pred_length")):
-        out = out.join(part, "episode_index", "left")
-    out = out.join(collisions(f, triangles), "episode_index", "left") if triangles is not None else out.withColumn("cr", F.lit(math.nan))
+    out = path_scores(f, list(thresholds)).join(soft_dtw_scores(f, yaw_weight, gamma, eta).drop("num_gt"), "episode_index", "left")
+    out = out.join(collisions(f, triangles), "episode_index", "left") if triangles is not None else out.withColumns({"cr": F.lit(math.nan), "error": F.lit("no mesh")})
     out = out.withColumn("sr", angles.success("end_distance", radius))
     return out.withColumns({"spl": angles.spl("sr", "gt_length", "pred_length"), "cspl": angles.spl("sr", "gt_length", "pred_length", "cr")})
 

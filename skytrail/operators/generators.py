@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,13 +17,15 @@ from pyspark.sql import functions as F
 
 from skytrail.functions import angles
 from skytrail.operators import geometry
+from skytrail.sources.scratch import small, written
 
 POINT = "array<struct<stage:int,x:double,y:double,z:double,yaw:double>>"
 
 
 def uniform(seed: int, draw: str, *keys: str) -> Column:
-    """In [0, 1): the top 53 bits of a hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(draw), *keys), 11).cast("double") / float(1 << 53)
+    """In [0, 1): the first 52 bits of a digest of (seed, draw, keys), which SQL can make too."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(draw), *[F.col(k).cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def _trajectories(objects: DataFrame, per: int) -> DataFrame:
@@ -51,13 +54,17 @@ def _fly(stage: int, p0: list[str], p1: list[str], yaw: str, step: float) -> Col
 
 
 def numbered(paths: DataFrame, order: list[str]) -> DataFrame:
-    """paths: a row a trajectory with its `points`.  Adds traj_id and pose_start, the poses of all
-    trajectories before it.  The window without a partition runs over trajectories, not poses."""
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sized = paths.withColumn("n_poses", F.size("points").cast("long"))
-    before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
-    # Empty ones go after the window: a filter under it would be written out over the whole of points.
-    return sized.withColumns({"traj_id": before((F.col("n_poses") > 0).cast("int")), "pose_start": before("n_poses")}).filter("n_poses > 0")
+    """paths: a row a trajectory with its `points`; order tells the rows apart.  Adds n_poses, traj_id and
+    pose_start, the poses of all trajectories before it; those without points go.
+
+    The window without a partition runs over (order, n_poses) alone; points are written once, and
+    joined to their numbers, so that no task holds the poses of all trajectories.
+    """
+    sized = written(paths, "paths").withColumn("n_poses", F.size("points").cast("long")).filter("n_poses > 0")
+    w = Window.orderBy(*order)
+    before = F.coalesce(F.sum("n_poses").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    numbers = sized.select(*order, (F.row_number().over(w) - 1).cast("long").alias("traj_id"), before.alias("pose_start"))
+    return sized.join(small(numbers, sized.count()), order)
 
 
 def poses(paths: DataFrame) -> DataFrame:
@@ -172,15 +179,47 @@ def turns(a: float, b: float, step_deg: float) -> np.ndarray:
     d = (b - a + math.pi) % (2 * math.pi) - math.pi
     if abs(math.degrees(d)) < 1e-3:
         return np.zeros(0)
-    n = max(1, int(abs(math.degrees(d)) // step_deg))
+    n = max(1, int(abs(math.degrees(d)) / step_deg + 1e-9))
     return a + d * np.arange(1, n + 1) / n
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """The convex hull, counter-clockwise, without points on its edges."""
+    pts = np.unique(points, axis=0)
+    if len(pts) < 3:
+        return pts
+
+    def half(rows: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for p in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(half(pts) + half(pts[::-1]))
+
+
+def long_side(points: np.ndarray) -> float:
+    """The angle, in [0, pi), of the longer side of the smallest rectangle around the points; it lies
+    along an edge of their hull."""
+    h = hull(points)
+    if len(h) < 2:
+        return 0.0
+    edges = np.roll(h, -1, axis=0) - h
+    best = (math.inf, 0.0)
+    for angle in np.arctan2(edges[:, 1], edges[:, 0]):
+        c, s = math.cos(angle), math.sin(angle)
+        size = np.ptp(h @ np.array([[c, -s], [s, c]]), axis=0)
+        best = min(best, (round(float(size[0] * size[1]), 9), float(angle if size[0] >= size[1] else angle + math.pi / 2) % math.pi))
+    return best[1]
+
+
 def sweep(ring: np.ndarray, spacing: float, angle: float | None = None) -> np.ndarray:
-    """Back-and-forth lines over a polygon, `spacing` apart, along its longest edge unless told."""
+    """Back-and-forth lines over a polygon, `spacing` apart, along the longer side of the smallest
+    rectangle around it unless told."""
     if angle is None:
-        d = np.roll(ring, -1, axis=0) - ring
-        angle = float(np.arctan2(*d[np.argmax(np.linalg.norm(d, axis=1))][::-1]))
+        angle = long_side(ring)
     c, s = math.cos(angle), math.sin(angle)
     turned = ring @ np.array([[c, -s], [s, c]])
     nxt = np.roll(turned, -1, axis=0)
@@ -240,6 +279,16 @@ def inspect_building(xy: np.ndarray, z: float, rng: np.random.Generator, expand:
     return p.points
 
 
+def both_ways(kernel: Callable[..., list[tuple]]) -> Callable[..., list[tuple]]:
+    """A kernel of roads that goes from the head for even k and from the tail for odd k."""
+
+    def run(xy: np.ndarray, z: float, rng: np.random.Generator, k: int = 0) -> list[tuple]:
+        return kernel(xy, z, rng, backwards=bool(k % 2))
+
+    run.by_k = True
+    return run
+
+
 def follow_road(xy: np.ndarray, z: float, rng: np.random.Generator, inset: float = 0.0, window: int = 9, step: float = 0.1, yaw_step: float = 0.5, backwards: bool = False) -> list[tuple]:
     """Stages: move over, descend, turn, follow, ascend."""
     path = xy[::-1] if backwards else xy
@@ -275,16 +324,65 @@ def map_field(xy: np.ndarray, z: float, rng: np.random.Generator, swath: float =
     return p.points
 
 
-def segment_free(a: np.ndarray, b: np.ndarray, tri: np.ndarray, clearance: float) -> bool:
-    """Whether no triangle's box, widened by the clearance, meets the segment."""
-    lo, hi = tri.min(axis=1) - clearance, tri.max(axis=1) + clearance
-    d = b - a
+def clearance(points: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Distance of each point to the nearest of the triangles (n, 3, 3); infinite without any."""
+    if not len(tri):
+        return np.full(len(points), np.inf)
+    p, a = points[:, None, :], tri[None, :, 0]
+    e, f = tri[None, :, 1] - a, tri[None, :, 2] - a
+    w = p - a
+    ee, ef, ff, we, wf = (np.sum(x * y, axis=-1) for x, y in ((e, e), (e, f), (f, f), (w, e), (w, f)))
+    det = ee * ff - ef * ef
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, v = (we * ff - wf * ef) / det, (wf * ee - we * ef) / det
+    inner = (det > 1e-18) & (u >= 0) & (v >= 0) & (u + v <= 1)
+    flat = w - np.where(inner, u, 0.0)[..., None] * e - np.where(inner, v, 0.0)[..., None] * f
+    d2 = np.where(inner, np.sum(flat * flat, axis=-1), np.inf)
+    for i, j in ((0, 1), (1, 2), (2, 0)):  # beyond the plane's part above the triangle, an edge is nearest
+        start, way = tri[None, :, i], tri[None, :, j] - tri[None, :, i]
+        t = np.clip(np.sum((p - start) * way, axis=-1) / np.maximum(np.sum(way * way, axis=-1), 1e-18), 0, 1)
+        off = p - start - t[..., None] * way
+        d2 = np.minimum(d2, np.sum(off * off, axis=-1))
+    return np.sqrt(d2.min(axis=1))
+
+
+def edge_distance(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distance of the segment a-b to each of the segments p-q (n, 3)."""
+    d, e, r = b - a, q - p, a - p
+    dd, ee, de, dr, er = d @ d, np.sum(e * e, axis=1), e @ d, r @ d, np.sum(e * r, axis=1)
+    det = dd * ee - de * de
+    s = np.clip(np.where(det > 1e-15, (de * er - dr * ee) / np.where(det > 1e-15, det, 1.0), 0.0), 0, 1)
+    t = np.clip((de * s + er) / np.maximum(ee, 1e-18), 0, 1)
+    s = np.clip((de * t - dr) / max(dd, 1e-18), 0, 1)
+    off = r + s[:, None] * d - t[:, None] * e
+    return np.linalg.norm(off, axis=1)
+
+
+def crosses(a: np.ndarray, b: np.ndarray, tri: np.ndarray) -> np.ndarray:
+    """Whether the segment a-b goes through each triangle."""
+    d, e, f, s = b - a, tri[:, 1] - tri[:, 0], tri[:, 2] - tri[:, 0], a - tri[:, 0]
+    h, q = np.cross(d, f), np.cross(s, e)
+    det = np.sum(e * h, axis=1)
     with np.errstate(divide="ignore", invalid="ignore"):
-        t0, t1 = (lo - a) / d, (hi - a) / d
-    flat = np.abs(d) < 1e-12
-    near = np.where(flat, np.where((a >= lo) & (a <= hi), -np.inf, np.inf), np.minimum(t0, t1))
-    far = np.where(flat, np.inf, np.maximum(t0, t1))
-    return not bool(np.any((near.max(axis=1) <= np.minimum(far.min(axis=1), 1.0)) & (far.min(axis=1) >= 0) & (near.max(axis=1) <= 1.0)))
+        u, v, t = np.sum(s * h, axis=1) / det, (q @ d) / det, np.sum(f * q, axis=1) / det
+    return (np.abs(det) > 1e-14) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t >= 0) & (t <= 1)
+
+
+def segment_free(a: np.ndarray, b: np.ndarray, tri: np.ndarray, radius: float) -> bool:
+    """Whether the segment keeps more than the radius from every triangle.
+
+    Only triangles whose boxes, widened by the radius, meet the segment's box are measured: through a
+    triangle, else the nearest of its edges to the segment and of the segment's ends to it.
+    """
+    lo, hi = np.minimum(a, b) - radius, np.maximum(a, b) + radius
+    near = tri[np.all((tri.min(axis=1) <= hi) & (tri.max(axis=1) >= lo), axis=1)] if len(tri) else tri
+    if not len(near):
+        return True
+    if crosses(a, b, near).any():
+        return False
+    if any((edge_distance(a, b, near[:, i], near[:, j]) <= radius).any() for i, j in ((0, 1), (1, 2), (2, 0))):
+        return False
+    return bool((clearance(np.stack((a, b)), near) > radius).all())
 
 
 def plan_around(start: np.ndarray, goal: np.ndarray, tri: np.ndarray, rng: np.random.Generator, radius: float = 3.0, step: float = 1.0, bias: float = 0.1, iterations: int = 15_000, spread: float = 15.0) -> np.ndarray | None:
@@ -361,7 +459,8 @@ def from_outlines(outlines: DataFrame, per: int, seed: int, kernel: Callable[[np
             rows = []
             for name, k, pts, z, s in zip(b["name"], b["k"], b["pts"], b["target_z"], b["s"], strict=True):
                 xy = np.array([(p["x"], p["y"]) for p in pts], float)
-                points = kernel(xy, float(z), np.random.default_rng(int(s) & (1 << 63) - 1))
+                rng = np.random.default_rng(int(s) & (1 << 63) - 1)
+                points = kernel(xy, float(z), rng, int(k)) if getattr(kernel, "by_k", False) else kernel(xy, float(z), rng)
                 rows.append((name, k, [dict(zip(("stage", "x", "y", "z", "yaw"), map(float, p), strict=True)) | {"stage": int(p[0])} for p in points]))
             yield pd.DataFrame(rows, columns=["name", "k", "points"])
 
@@ -369,18 +468,23 @@ def from_outlines(outlines: DataFrame, per: int, seed: int, kernel: Callable[[np
     return numbered(t.repartition("name", "k").mapInPandas(run, f"name string, k int, points {POINT}"), ["name", "k"])
 
 
-def from_pairs(pairs: DataFrame, triangles: DataFrame, seed: int = 42, **options) -> DataFrame:
-    """pairs: (env_id, name, k, sx..gz).  Traversals of each scene's mesh, which travels as one array."""
-    tri = triangles.groupBy("env_id").agg(F.collect_list(F.array(*[F.col(f"{v}{c}") for v in "abc" for c in "xyz"])).alias("tri"))
+def from_pairs(pairs: DataFrame, triangles: DataFrame, seed: int = 42, radius: float = 3.0, spread: float = 15.0, **options) -> DataFrame:
+    """pairs: (env_id, name, k, sx..gz).  Traversals, each with the triangles of its scene that a path may
+    come near: those that meet the box of its search, widened by the radius."""
+    ends = {c: [F.col(f"s{c}"), F.col(f"g{c}")] for c in "xyz"}
+    reach = spread + radius
+    meets = reduce(Column.__and__, [(F.greatest(*[F.col(f"{v}{c}") for v in "abc"]) >= F.least(*ends[c]) - reach) & (F.least(*[F.col(f"{v}{c}") for v in "abc"]) <= F.greatest(*ends[c]) + reach) for c in "xyz"])
+    corners = F.array(*[F.col(f"{v}{c}") for v in "abc" for c in "xyz"])
+    near = pairs.join(triangles, "env_id").filter(meets).groupBy("name", "k").agg(F.collect_list(corners).alias("tri"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for r in b.itertuples(index=False):
                 mesh = np.array([np.asarray(t, float) for t in r.tri]).reshape(-1, 3, 3) if r.tri is not None else np.zeros((0, 3, 3))
-                points = traverse(np.array([r.sx, r.sy, r.sz]), np.array([r.gx, r.gy, r.gz]), mesh, seed + int(r.k), **options)
+                points = traverse(np.array([r.sx, r.sy, r.sz]), np.array([r.gx, r.gy, r.gz]), mesh, seed + int(r.k), radius, **options)
                 rows.append((r.name, r.k, [{"stage": int(p[0]), **dict(zip(("x", "y", "z", "yaw"), map(float, p[1:]), strict=True))} for p in points]))
             yield pd.DataFrame(rows, columns=["name", "k", "points"])
 
-    t = pairs.join(tri, "env_id", "left").repartition("name", "k")
+    t = pairs.join(near, ["name", "k"], "left").repartition("name", "k")
     return numbered(t.mapInPandas(run, f"name string, k int, points {POINT}"), ["name", "k"])

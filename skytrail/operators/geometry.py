@@ -28,9 +28,9 @@ def line_points(df: DataFrame, p0: list[str], p1: list[str], step: float, skip_f
 
 def turn_angles(start: Column, end: Column, step_deg: float) -> Column:
     """Headings from start to end the short way, as an array: start left out, end included; none for
-    a turn of under a thousandth of a degree."""
+    a turn of under a thousandth of a degree.  A turn of whole steps has them all, whatever rounding did."""
     d = angles.wrap_rad(end - start)
-    n = F.greatest(F.lit(1), F.floor(F.degrees(F.abs(d)) / step_deg).cast("int"))
+    n = F.greatest(F.lit(1), F.floor(F.degrees(F.abs(d)) / step_deg + 1e-9).cast("int"))
     return F.when(F.degrees(F.abs(d)) < 1e-3, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: start + d * (i / n)))
 
 

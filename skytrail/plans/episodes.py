@@ -194,7 +194,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 CHUNKS = """flat as (
   select vec_id // 50 episode, vec_id % 50 + i step, embedding[i * 4 + 1]::double dx, embedding[i * 4 + 4]::double dyaw
-  from embeddings, range(8) r(i) where vec_id % 4 = 0)"""
+  from embeddings, range(8) r(i))"""
 
 
 @query("chunk_average", with_views(CHUNKS) + f"select episode, step, count(*) n, round(avg(dx), 6) dx, round({sql_wrap('avg(dyaw)')}, 6) dyaw from flat group by 1, 2")

@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from skytrail.functions import angles
 from skytrail.operators import evaluate
 from skytrail.plans.catalog import query
-from skytrail.plans.views import FRAMES, TRACK, table, v_frames, v_track, with_views
+from skytrail.plans.views import EPISODE, FRAMES, TRACK, table, v_frames, v_track, with_views
 
 THRESHOLDS = [0.05, 0.1, 0.15]  # the vectors lie within about 0.4
 RADIUS = 0.2
 
 
+def _mod(a: str, b: str) -> str:
+    return f"((({a}) % {b}) + {b}) % {b}"
+
+
+PI = repr(math.pi)
+TWO = repr(2 * math.pi)
+
+
+def sql_wrap(a: str) -> str:
+    return f"({_mod(f'{a} + {PI}e0', TWO + 'e0')} - {PI}e0)"
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -77,18 +89,34 @@ def eval_progress(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.progress(v_frames(spark, d)))
 
 
-@query("eval_soft_dtw")
+SOFT = f"""angled as (
+  select *, {{0}} ta, {{1}} qa from v_frames),
+costs as (
+  select p.episode_index e, list(sqrt((p.px - t.x) ** 2 + (p.py - t.y) ** 2 + (p.pz - t.z) ** 2 + (0.1e0 * {{2}}) ** 2) order by p.frame_index, t.frame_index) c
+  from angled p join angled t using (episode_index) group by 1),
+cells as (
+  select e, 0 k, list_resize([]::double[], {EPISODE}, 1e300) || [c[1]] buf, c from costs
+  union all
+  select e, k + 1, buf[2:{EPISODE + 1}] || [c[k + 2] + m - 0.5e0 * ln(exp((m - a) / 0.5e0) + exp((m - b) / 0.5e0) + exp((m - d) / 0.5e0))], c from (
+    select *, least(a, b, d) m from (
+      select *, case when (k + 1) % {EPISODE} = 0 then 1e300 else buf[{EPISODE + 1}] end a, buf[2] b, case when (k + 1) % {EPISODE} = 0 then 1e300 else buf[1] end d
+      from cells where k + 1 < {EPISODE * EPISODE}))),
+soft as (
+  select e episode_index, buf[{EPISODE + 1}] dtw, least(greatest(exp(-buf[{EPISODE + 1}] / {3 * EPISODE}e0), 0e0), 1e0) ndtw
+  from cells where k = {EPISODE * EPISODE - 1})""".format(*(sql_wrap(f"case when abs({c}) > 3.5e0 * {PI}e0 then radians({c}) else {c} end") for c in ("a", "pa")), sql_wrap("p.qa - t.ta"))
+
+
+@query("eval_soft_dtw", with_views(FRAMES, SOFT, recursive=True) + "select episode_index, round(dtw, 6) dtw, (select count(*) from v_frames f where f.episode_index = soft.episode_index) num_gt, round(ndtw, 6) ndtw from soft")
 def eval_soft_dtw(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.soft_dtw_scores(v_frames(spark, d)))
 
 
 def scene_mesh(spark: SparkSession, d: str) -> DataFrame:
     """A triangle for every vector, in three of the four scenes."""
-    e = table(spark, d, "embeddings").select(F.concat(F.lit("env_"), F.expr("(vec_id div 20) % 3").cast("string")).alias("env_id"), *[F.col("embedding")[10 + 3 * i + j].cast("double").alias(v + c) for i, v in enumerate("abc") for j, c in enumerate("xyz")])
-    return e
+    return table(spark, d, "embeddings").select(F.concat(F.lit("env_"), F.expr("(vec_id div 20) % 3").cast("string")).alias("env_id"), *[F.col("embedding")[10 + 3 * i + j].cast("double").alias(v + c) for i, v in enumerate("abc") for j, c in enumerate("xyz")])
 
 
-MESH = "tri as (select 'env_' || ((vec_id // 20) % 3)::varchar env_id, " + ", ".join(f"embedding[{11 + 3 * i + j}]::double t{v}{c}" for i, v in enumerate("abc") for j, c in enumerate("xyz")) + " from embeddings where vec_id % 20 = 0)"
+MESH = "tri as (select 'env_' || ((vec_id // 20) % 3)::varchar env_id, " + ", ".join(f"embedding[{11 + 3 * i + j}]::double t{v}{c}" for i, v in enumerate("abc") for j, c in enumerate("xyz")) + " from embeddings)"
 
 
 def _cross(u: str, v: str) -> list[str]:
@@ -149,41 +177,48 @@ _SUMMARY = ", ".join(f"round(avg({e}) filter (not isnan({e})), 6) {n}" for n, e
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     """All scores an episode but soft-DTW, rolled up overall, by split and by task."""
     f = v_frames(spark, d)
-    info = f.groupBy("episode_index").agg(F.min("task").alias("task"), F.min("split").alias("split"))
-    for part in (evaluate.coverage(f, THRESHOLDS), evaluate.progress(f), evaluate.end_distance(f), evaluate.path_length(f, out="g"), evaluate.path_length(f, cols=evaluate.PXYZ, out="p"), evaluate.collisions(f, scene_mesh(spark, d))):
-        info = info.join(part, "episode_index")
-    info = info.withColumn("sr", angles.success("end_distance", RADIUS))
-    info = info.withColumns({"spl": angles.spl("sr", "g", "p"), "cspl": angles.spl("sr", "g", "p", "cr")})
+    info = evaluate.path_scores(f, THRESHOLDS).join(evaluate.collisions(f, scene_mesh(spark, d)), "episode_index").withColumn("sr", angles.success("end_distance", RADIUS))
+    info = info.withColumns({"spl": angles.spl("sr", "gt_length", "pred_length"), "cspl": angles.spl("sr", "gt_length", "pred_length", "cr")})
     return rounded(evaluate.summary(info, ["avg_tcr", "nsp", "sr", "cr", "spl", "cspl"]))
 
 
-@query("eval_episode_metrics")
+_RECORD = ["tcr_0", "tcr_1", "tcr_2", "avg_tcr", "nsp", "end_distance", "gt_length", "pred_length", "dtw", "ndtw", "sr"]
+
+
+@query(
+    "eval_episode_metrics",
+    with_views(FRAMES, MESH, HITS, LENGTHS, ENDS, NEAR, TCR, PROGRESS, SOFT, recursive=True)
+    + f""", scores as (select *, (tcr_0 + tcr_1 + tcr_2) / 3 avg_tcr, case when end_distance <= 0.2e0 then 1e0 else 0e0 end sr, gt_length / greatest(gt_length, pred_length) ratio
+  from ends join lens using (episode_index) join cols using (episode_index) join prog using (episode_index) join tcr using (episode_index) join soft using (episode_index)),
+info as (select episode_index, min(task) task, min(split) split, min(env_id) env_id, count(x) num_gt, count(px) num_pred from v_frames group by 1)
+select episode_index, task, split, env_id, num_gt, num_pred, {", ".join(f"round({c}, 6) {c}" for c in _RECORD)}, case when not isnan(cr) then cr end cr, case when isnan(cr) then 'no mesh' end error,
+  round(sr * ratio, 6) spl, case when not isnan(cr) then round(sr * ratio * (1 - cr), 6) end cspl from scores join info using (episode_index)""",
+)
 def eval_episode_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Every score of every episode, soft-DTW included."""
     out = evaluate.episode_metrics(v_frames(spark, d), THRESHOLDS, RADIUS, triangles=scene_mesh(spark, d))
     return rounded(out.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes]))
 
 
+@query("eval_first_hit", with_views(FRAMES, MESH, HITS) + ", firsts as (select episode_index, round(min(greatest(st / det, 0e0)), 6) distance, count(*) n from m2 where abs(det) > 1e-14 and su / det >= 0 and sv / det >= 0 and su / det + sv / det <= 1 and st / det >= -1e-8 and st / det <= len + 1e-8 group by 1) select episode_index, distance from firsts")
+def eval_first_hit(spark: SparkSession, d: str) -> DataFrame:
+    """How soon a step of an episode meets the mesh, the least over its steps."""
+    hits = evaluate.segment_hits(evaluate.steps(v_frames(spark, d)), scene_mesh(spark, d), ["env_id"], ["episode_index", "frame_index"])
+    return rounded(hits.groupBy("episode_index").agg(F.min("distance").alias("distance")))
+
+
 @query("eval_limited", with_views(FRAMES) + "select episode_index, count(*) n, round(sum(x), 6) sx from v_frames where frame_index < 40 and frame_index % 3 = 0 group by 1")
 def eval_limited(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.limited(v_frames(spark, d), 40, 3).groupBy("episode_index").agg(F.count("*").alias("n"), F.sum("x").alias("sx")))
 
 
-@query("eval_running_means", with_views(FRAMES, ENDS) + "select episode_index, round(avg(end_distance) over (order by episode_index rows between unbounded preceding and current row), 6) mean_end_distance from ends")
+@query(
+    "eval_running_means",
+    with_views(FRAMES, ENDS, SOFT, recursive=True) + ", both_ as (select * from ends join soft using (episode_index)) select episode_index, " + ", ".join(f"round(avg({c}) over w, 6) mean_{c}" for c in ("end_distance", "ndtw")) + " from both_ window w as (order by episode_index rows between unbounded preceding and current row)",
+)
 def eval_running_means(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.running_means(evaluate.end_distance(v_frames(spark, d)), ["end_distance"], "episode_index"))
-
-
-def _mod(a: str, b: str) -> str:
-    return f"((({a}) % {b}) + {b}) % {b}"
-
-
-PI = repr(math.pi)
-TWO = repr(2 * math.pi)
-
-
-def sql_wrap(a: str) -> str:
-    return f"({_mod(f'{a} + {PI}e0', TWO + 'e0')} - {PI}e0)"
+    f = v_frames(spark, d)
+    return rounded(evaluate.running_means(evaluate.end_distance(f).join(evaluate.soft_dtw_scores(f), "episode_index"), ["end_distance", "ndtw"], "episode_index"))
 
 
 @query(
@@ -210,5 +245,3 @@ def fn_point_cost(spark: SparkSession, d: str) -> DataFrame:
     f = v_frames(spark, d)
     a, b = [F.col(c) for c in ("x", "y", "z", "a")], [F.col(c) for c in ("px", "py", "pz", "pa")]
     return f.select("episode_index", "frame_index", F.round(angles.point_cost(a, b), 6).alias("cost"), F.round(angles.softmin3(*a[:3], 0.5), 6).alias("soft"))
-
-

@@ -244,26 +244,84 @@ def outlines(spark: SparkSession, d: str) -> DataFrame:
 def _generated(paths: DataFrame, stages: int) -> DataFrame:
     ranges = generators.stage_ranges(paths, stages)
     p = generators.poses(paths)
-    per = p.groupBy("traj_id").agg(F.count("*").alias("n_poses"), F.min("pose_id").alias("pose_start"), F.max("pose_id").alias("pose_end"), F.round(F.min("z"), 4).alias("z_min"), F.round(F.max("z"), 4).alias("z_max"))
+    per = p.groupBy("traj_id").agg(F.count("*").alias("n_poses"), F.min("pose_id").alias("pose_start"), F.max("pose_id").alias("pose_end"), F.round(F.min("z"), 4).alias("z_min"), F.round(F.max("z"), 4).alias("z_max"), *[F.round(F.max_by(c, "pose_id"), 4).alias(f"last_{c}") for c in "xy"])
     return per.join(ranges.groupBy("traj_id").agg(F.count("*").alias("n_stages"), F.sum(F.expr("pose_end - pose_start + 1")).alias("covered")), "traj_id")
 
 
-@query("generate_landing")
+def _u(draw: str) -> str:
+    return f"(('0x' || substr(md5('42|{draw}|' || name || '|' || k), 1, 13))::bigint / 4503599627370496e0)"
+
+
+def _turned(a: str, b: str) -> str:
+    """Poses of a turn from a to b in steps of five degrees."""
+    d = f"(abs(({_wrapped(f'({b}) - ({a})')})) * {180 / math.pi!r}e0)"
+    return f"(case when {d} < 1e-3 then 0 else greatest(1, floor({d} / 5e0 + 1e-9)::bigint) end)"
+
+
+def _wrapped(a: str) -> str:
+    m = f"(({a}) + {math.pi!r}e0) % {2 * math.pi!r}e0"
+    return f"(case when {m} < 0 then ({m} + {2 * math.pi!r}e0) % {2 * math.pi!r}e0 else {m} end - {math.pi!r}e0)"
+
+
+def _flown(length: str) -> str:
+    return f"(floor({length})::bigint + (floor({length}) = 0 or {length} - floor({length}) > 1e-4)::bigint)"
+
+
+_MARKS = "with marks as (select n_name as name, n_nationkey * 30e0 x, n_regionkey * 40e0 y from nation),\n"
+
+
+def _numbered(stages: int, z_min: str, last: tuple[str, str]) -> str:
+    counts = [f"n{i}" for i in range(stages)]
+    total = " + ".join(counts)
+    return f"""select row_number() over w - 1 traj_id, {total} n_poses, (sum({total}) over w - ({total}))::bigint pose_start, (sum({total}) over w - 1)::bigint pose_end,
+  round({z_min}, 4) z_min, round(z0, 4) z_max, round({last[0]}, 4) last_x, round({last[1]}, 4) last_y, {" + ".join(f"({c} > 0)::bigint" for c in counts)} n_stages, ({total})::bigint covered from n window w as (order by name, k rows unbounded preceding)"""
+
+
+def _landing_sql() -> str:
+    return (
+        _MARKS
+        + f"""t as (select *, 60e0 * sqrt({_u("r")}) r, {2 * math.pi!r}e0 * {_u("theta")} theta, 80e0 + 20e0 * {_u("z")} z0, {2 * math.pi!r}e0 * {_u("yaw")} yaw0, [-20e0, -10e0, 0e0][(floor({_u("end")} * 3) + 1)::int] z1 from marks, range(15) g(k)),
+p as (select *, x + r * cos(theta) x0, y + r * sin(theta) y0 from t),
+q as (select *, case when r < 1e-6 then yaw0 else atan2(y - y0, x - x0) end yaw1, sqrt((x - x0) * (x - x0) + (y - y0) * (y - y0)) len from p),
+n as (select *, {_turned("yaw0", "yaw1")} n0, {_flown("len")} n1, {_flown("(z0 - z1)")} n2 from q)
+"""
+        + _numbered(3, "z1", ("x", "y"))
+    )
+
+
+def _orbit_sql(per: int = 9, radius: str = "20e0", end_radius: str = "radius", turns: float = 1.0, z1: float = -20.0, z2: float = -20.0) -> str:
+    return (
+        _MARKS
+        + f"""s as (select *, {radius} radius, {_u("theta")} ut, {_u("r")} ur, 80e0 + 20e0 * {_u("z")} z0, {2 * math.pi!r}e0 * {_u("yaw")} yaw0 from marks, range({per}) g(k)),
+t as (select *, greatest(60e0, radius + 2e0) far, {2 * math.pi!r}e0 * ut theta from s),
+p as (select *, sqrt((radius + 1) * (radius + 1) + ur * (far * far - (radius + 1) * (radius + 1))) r, theta - {2 * math.pi!r}e0 * {turns}e0 out_angle from t),
+q as (select *, x + r * cos(theta) x0, y + r * sin(theta) y0, x + radius * cos(theta) x1, y + radius * sin(theta) y1, x + {end_radius} * cos(out_angle) x2, y + {end_radius} * sin(out_angle) y2 from p),
+n as (select *, {_turned("yaw0", _wrapped(f"theta + {math.pi!r}e0"))} n0, {_flown(f"sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) + ({z1}e0 - z0) * ({z1}e0 - z0))")} n1,
+  {_turned(_wrapped(f"theta + {math.pi!r}e0"), _wrapped(f"theta - {math.pi / 2!r}e0"))} n2,
+  greatest(1, ceil(sqrt(({2 * math.pi!r}e0 * {turns}e0 * (radius + {end_radius}) / 2) ** 2 + ({z2 - z1}e0) ** 2))::bigint) n3,
+  {_turned(_wrapped(f"atan2(y2 - y, x2 - x) - {math.pi / 2!r}e0"), "atan2(y0 - y2, x0 - x2)")} n4,
+  {_flown(f"sqrt((x0 - x2) * (x0 - x2) + (y0 - y2) * (y0 - y2) + (z0 - {z2}e0) * (z0 - {z2}e0))")} n5 from q)
+"""
+        + _numbered(6, f"{min(z1, z2)}e0", ("x0", "y0"))
+    )
+
+
+@query("generate_landing", _landing_sql())
 def generate_landing(spark: SparkSession, d: str) -> DataFrame:
     return _generated(generators.landing(landmarks(spark, d)), 3)
 
 
-@query("generate_orbit_fixed")
+@query("generate_orbit_fixed", _orbit_sql())
 def generate_orbit_fixed(spark: SparkSession, d: str) -> DataFrame:
     return _generated(generators.orbit(landmarks(spark, d)), 6)
 
 
-@query("generate_orbit_radii")
+@query("generate_orbit_radii", _orbit_sql(radius=f"[20e0, 40e0, 60e0][(floor({_u('radius')} * 3) + 1)::int]"))
 def generate_orbit_radii(spark: SparkSession, d: str) -> DataFrame:
     return _generated(generators.orbit(landmarks(spark, d), radii=(20.0, 40.0, 60.0)), 6)
 
 
-@query("generate_spiral")
+@query("generate_spiral", _orbit_sql(5, "30e0", "10e0", 3.0, 0.0, -20.0))
 def generate_spiral(spark: SparkSession, d: str) -> DataFrame:
     return _generated(generators.orbit(landmarks(spark, d), per=5, radius=30.0, end_radius=10.0, turns=3.0, end_height=0.0, last_height=-20.0), 6)
 
@@ -275,7 +333,7 @@ def generate_building(spark: SparkSession, d: str) -> DataFrame:
 
 @query("generate_road")
 def generate_road(spark: SparkSession, d: str) -> DataFrame:
-    return _generated(generators.from_outlines(outlines(spark, d), 2, 42, generators.follow_road), 5)
+    return _generated(generators.from_outlines(outlines(spark, d), 2, 42, generators.both_ways(generators.follow_road)), 5)
 
 
 @query("generate_field")

@@ -76,5 +76,5 @@ STAGES = f"""v_stage as (
   where not (traj_id % 5 = 0 and subtask_id = 1))"""
 
 
-def with_views(*views: str) -> str:
-    return "with " + ",\n".join(views) + "\n"
+def with_views(*views: str, recursive: bool = False) -> str:
+    return ("with recursive " if recursive else "with ") + ",\n".join(views) + "\n"
