@@ -117,3 +117,29 @@ def utm(lat: Column, lon: Column, zone: int, south: bool = False) -> list[Column
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return [UTM_EAST + UTM_SCALE * radius * east, (1e7 if south else 0.0) + UTM_SCALE * radius * north]
+
+
+Matrix = list[list[Column]]
+
+
+def projection_matrix(near: float, far: float, fov_x: Column, fov_y: Column) -> Matrix:
+    """A symmetric perspective: x and y by their fields of view, depth from 0 at `near` to 1 at `far`."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return [[1 / F.tan(fov_x / 2), zero, zero, zero], [zero, 1 / F.tan(fov_y / 2), zero, zero], [zero, zero, F.lit(far / (far - near)), F.lit(-far * near / (far - near))], [zero, zero, one, zero]]
+
+
+def view_matrix(camera_to_world: Matrix, translation: list[Column]) -> Matrix:
+    """World to view: the transpose of the camera's rotation, then the translation."""
+    rows = [[camera_to_world[j][i] for j in range(3)] + [translation[i]] for i in range(3)]
+    return [*rows, [F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
+
+
+def matrix_product(a: Matrix, b: Matrix) -> Matrix:
+    return [[sum((a[i][k] * b[k][j] for k in range(4)), F.lit(0.0)) for j in range(4)] for i in range(4)]
+
+
+def transformed(m: Matrix, point: list[Column], tiny: float = 1e-7) -> list[Column]:
+    """A point through a 4 x 4 matrix, divided by its last coordinate plus a tiny number."""
+    p = [*point, F.lit(1.0)]
+    out = [sum((a * b for a, b in zip(row, p, strict=True)), F.lit(0.0)) for row in m]
+    return [v / (out[3] + tiny) for v in out[:3]]

@@ -130,6 +130,46 @@ def closest_vertex(outlines: DataFrame, points: DataFrame) -> DataFrame:
     return v.groupBy("name").agg(F.min_by("i", F.struct(d2, F.col("i"))).alias("vertex"))
 
 
+def limited_shards(episodes: DataFrame, order: list[str], limit: int, shards: int) -> DataFrame:
+    """The first `limit` episodes (0: all) in order, each with the shard that it is dealt to in turn."""
+    place = (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")
+    out = episodes.withColumn("_at", place)
+    out = out.filter(F.col("_at") < limit) if limit > 0 else out
+    return out.withColumn("shard", (F.col("_at") % shards).cast("int")).drop("_at")
+
+
+def key_difference(wanted: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that only one side has: key, side (missing: only wanted; extra: only found)."""
+    a, b = wanted.select(*key).distinct(), found.select(*key).distinct()
+    missing, extra = a.join(b, key, "left_anti"), b.join(a, key, "left_anti")
+    return missing.withColumn("side", F.lit("missing")).unionByName(extra.withColumn("side", F.lit("extra")))
+
+
+def signature(env: Column, instruction: Column, length: Column) -> Column:
+    """What two descriptions of one episode must share: scene, text and length."""
+    return F.struct(F.coalesce(env, F.lit("")).alias("env_id"), instruction.alias("instruction"), length.cast("long").alias("length"))
+
+
+def checked_rows(tasks: DataFrame, whole: DataFrame) -> DataFrame:
+    """Task rows (position, task_id, env_id, instruction, length) beside the rows of the whole (episode_index,
+    and the same) that they should be, and what is wrong: "count", "index", "task", "signature" or null.
+
+    Positions run from 0 without gaps; a row without a partner is of a wrong count.
+    """
+    w = Window.orderBy("episode_index")
+    theirs = whole.select((F.row_number().over(w) - 1).cast("long").alias("position"), "episode_index", F.col("task_id").alias("_task"), signature(F.col("env_id"), F.col("instruction"), F.col("length")).alias("_theirs"))
+    ours = tasks.select("position", "task_id", signature(F.col("env_id"), F.col("instruction"), F.col("length")).alias("_ours"))
+    both = ours.join(theirs, "position", "full")
+    wrong = F.when(F.col("_ours").isNull() | F.col("_theirs").isNull(), "count").when(F.col("episode_index") != F.col("position"), "index")
+    wrong = wrong.when(~F.col("_task").eqNullSafe(F.col("task_id")), "task").when(~F.col("_ours").eqNullSafe(F.col("_theirs")), "signature")
+    return both.select("position", "episode_index", "task_id", wrong.alias("wrong"))
+
+
+def aligned(truth: DataFrame, pred: DataFrame, key: list[str]) -> DataFrame:
+    """Both trajectories up to the end of the shorter one."""
+    return truth.join(pred, [*key, "frame_index"])
+
+
 def pipeline(*steps: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     """One transform of several, in order."""
 

@@ -144,13 +144,24 @@ def drop_repeats(spark: SparkSession, d: str) -> DataFrame:
     return pts.select("traj_id", F.size(geometry.drop_repeats(F.col("p"))).cast("long").alias("n"))
 
 
-@query("smooth_headings", with_views(FRAMES) + "select episode_index, count(*) n from v_frames group by 1")
+@query(
+    "smooth_headings",
+    with_views(
+        FRAMES,
+        """t as (select *, coalesce(lead(x) over w - x, x - lag(x) over w) dx, coalesce(lead(y) over w - y, y - lag(y) over w) dy from v_frames window w as (partition by episode_index order by frame_index)),
+u as (select episode_index, frame_index, dx / (sqrt(dx * dx + dy * dy) + 1e-8) tx, dy / (sqrt(dx * dx + dy * dy) + 1e-8) ty from t),
+h as (select episode_index, frame_index, tx hx, ty hy from u where frame_index = 0 union all
+  select episode_index, frame_index, sx / (sqrt(sx * sx + sy * sy) + 1e-12), sy / (sqrt(sx * sx + sy * sy) + 1e-12) from (
+    select u.episode_index, u.frame_index, 0.75e0 * hx + 0.25e0 * tx sx, 0.75e0 * hy + 0.25e0 * ty sy from h join u on u.episode_index = h.episode_index and u.frame_index = h.frame_index + 1))""",
+        recursive=True,
+    )
+    + "select episode_index, frame_index, round(hx, 6) hx, round(hy, 6) hy from h",
+)
 def smooth_headings(spark: SparkSession, d: str) -> DataFrame:
-    """All smoothed headings are unit vectors."""
     t = geometry.tangents(v_frames(spark, d).select(*EP, "frame_index", "x", "y"), EP, "frame_index")
     a = t.groupBy(*EP).agg(F.sort_array(F.collect_list(F.struct("frame_index", F.col("tx").alias("x"), F.col("ty").alias("y")))).alias("h"))
     h = geometry.smooth_headings(F.transform("h", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
-    return a.select(*EP, F.explode(F.slice(h, 2, 1000000)).alias("p")).filter("abs(p.x * p.x + p.y * p.y - 1) < 1e-6").groupBy(*EP).agg((F.count("*") + 1).alias("n"))
+    return rounded(a.select(*EP, F.posexplode(h).alias("i", "p")).select(*EP, F.col("i").cast("long").alias("frame_index"), F.col("p.x").alias("hx"), F.col("p.y").alias("hy")))
 
 
 RESAMPLED = """, a as (select *, sum(coalesce(d, 0)) over (partition by episode_index order by frame_index) s from (
@@ -349,8 +360,15 @@ def generate_traversal(spark: SparkSession, d: str) -> DataFrame:
     return _generated(generators.from_pairs(pairs, wall), 2)
 
 
-@query("cut_corners", with_views(FRAMES) + "select episode_index, (2 * count(*))::bigint n, round(min_by(x, frame_index), 6) first_x, round(max_by(x, frame_index), 6) last_x from v_frames group by 1")
+@query(
+    "cut_corners",
+    with_views(FRAMES)
+    + """, c as (select *, lead(x) over w nx, lead(y) over w ny, lead(z) over w nz from v_frames window w as (partition by episode_index order by frame_index)),
+p as (select episode_index, 0 i, x, y, z from c where frame_index = 0 union all select episode_index, 2 * frame_index + 1, 0.75e0 * x + 0.25e0 * nx, 0.75e0 * y + 0.25e0 * ny, 0.75e0 * z + 0.25e0 * nz from c where nx is not null
+  union all select episode_index, 2 * frame_index + 2, 0.25e0 * x + 0.75e0 * nx, 0.25e0 * y + 0.75e0 * ny, 0.25e0 * z + 0.75e0 * nz from c where nx is not null union all select episode_index, 2 * frame_index + 1, x, y, z from c where nx is null)
+select episode_index, i, round(x, 6) x, round(y, 6) y, round(z, 6) z from p""",
+)
 def cut_corners(spark: SparkSession, d: str) -> DataFrame:
     a = v_frames(spark, d).groupBy(*EP).agg(F.sort_array(F.collect_list(F.struct("frame_index", "x", "y", "z"))).alias("p"))
-    a = a.withColumn("q", geometry.cut_corners(F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))), 1))
-    return a.select(*EP, F.size("q").cast("long").alias("n"), F.round(F.get("q", F.lit(0))["x"], 6).alias("first_x"), F.round(F.get("q", F.size("q") - 1)["x"], 6).alias("last_x"))
+    q = geometry.cut_corners(F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))), 1)
+    return rounded(a.select(*EP, F.posexplode(q).alias("i", "q")).select(*EP, F.col("i").cast("long").alias("i"), "q.x", "q.y", "q.z"))

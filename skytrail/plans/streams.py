@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,17 +9,22 @@ from skytrail.plans.catalog import query
 from skytrail.plans.episodes import CHUNKS, chunks
 from skytrail.plans.evaluation import sql_wrap
 from skytrail.plans.views import table, with_views
+from skytrail.sources.scratch import scratch_dir
 from skytrail.streaming.chunks import average_stream, windowed_counts
 
 
 @query("stream_chunk_average", with_views(CHUNKS) + f"select episode, step, count(*) n, round(avg(dx), 6) dx, round({sql_wrap('avg(dyaw)')}, 6) dyaw from flat group by 1, 2")
 def stream_chunk_average(spark: SparkSession, d: str) -> DataFrame:
     """The chunk average from a stream of files, which is the same as from a batch."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = scratch_dir(spark, "stream")
     c = chunks(spark, d).select("episode", F.col("start_step").cast("long").alias("start_step"), F.expr("transform(actions, a -> transform(a, v -> double(v)))").alias("actions"))
     ends = c.groupBy("episode").agg((F.max("start_step") + 1000).alias("start_step")).withColumn("actions", F.array().cast("array<array<double>>"))
-    c.unionByName(ends).coalesce(1).write.parquet(f"{root}/in")
-    stream = average_stream(spark.readStream.schema(c.schema).parquet(f"{root}/in"))
+    # Files come by rising steps, and an episode's chunks of one range lie in one file; each file is a batch.
+    for lo, hi in ((0, 20), (20, 40), (40, 1 << 40)):
+        part = c.filter(F.col("start_step").between(lo, hi - 1))
+        part = part.unionByName(ends) if hi > 1000 else part
+        part.repartition(2, "episode").write.mode("append").parquet(f"{root}/in")
+    stream = average_stream(spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
     q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")

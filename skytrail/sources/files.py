@@ -129,9 +129,28 @@ def read_spreadsheets(spark: SparkSession, path: str, aliases: dict[str, list[st
     return out.dropna(subset=[n for n in aliases if n != "label"]).filter("label is not null and label <> ''")
 
 
-def environments(spark: SparkSession, root: str, needs: list[str] = ("instruction.txt",)) -> list[str]:
-    """Folders below root that hold all the named files or folders, by name."""
-    return [n for n, folder, _ in children(spark, root) if folder and all(exists(spark, f"{root}/{n}/{x}") for x in needs)]
+def environments(spark: SparkSession, root: str, needs: list[str] = ("instruction.txt",), requested: list[str] | None = None) -> list[str]:
+    """Folders below root that hold all the named files or folders, by name; of the requested ones, in
+    the order of the request."""
+    there = [n for n, folder, _ in children(spark, root) if folder and all(exists(spark, f"{root}/{n}/{x}") for x in needs)]
+    return there if requested is None else [n for n in dict.fromkeys(requested) if n in there]
+
+
+def only_present(episodes: DataFrame, present: list[str]) -> DataFrame:
+    """The episodes of the scenes that are there."""
+    return episodes.filter(F.col("env_id").isin(list(present)))
+
+
+def snapshot(spark: SparkSession, root: str) -> set[str]:
+    """The folders in a folder, to compare with a later look."""
+    return {n for n, folder, _ in children(spark, root) if folder}
+
+
+def appeared(spark: SparkSession, root: str, before: set[str]) -> str | None:
+    """The newest of the folders that were not there before, or if there are none the newest of all."""
+    found = [(t, n) for n, folder, t in children(spark, root) if folder]
+    new = [x for x in found if x[1] not in before] or found
+    return f"{root}/{max(new)[1]}" if new else None
 
 
 def largest_numbered(spark: SparkSession, root: str) -> str | None:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import fnmatch
+import io
 import struct
 from collections.abc import Iterator
 from glob import glob
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -15,12 +20,34 @@ PLY_TYPES = {"char": "b", "int8": "b", "uchar": "B", "uint8": "B", "short": "h",
 ROWS = 200_000  # vertices a partition
 
 
+def _system(path: str) -> tuple[arrow_fs.FileSystem, str]:
+    """The file system of a path, local or with a scheme, and the path in it."""
+    return arrow_fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (arrow_fs.LocalFileSystem(), path)
+
+
+def matching(pattern: str) -> list[str]:
+    """The files that a pattern names, in order, on any file system that Arrow opens."""
+    if ":" not in pattern.split("/")[0]:
+        return sorted(glob(pattern, recursive=True))
+    scheme, rest = pattern.split(":", 1)
+    fixed = rest[: min((rest.find(c) for c in "*?[" if c in rest), default=len(rest))]
+    system, base = _system(f"{scheme}:{fixed.rsplit('/', 1)[0] or '/'}")
+    lead = len(fixed.rsplit("/", 1)[0]) - len(base)
+    found = system.get_file_info(arrow_fs.FileSelector(base, recursive=True, allow_not_found=True))
+    return sorted(f"{scheme}:{rest[:lead]}{f.path}" for f in found if f.is_file and fnmatch.fnmatch(rest[:lead] + f.path, rest))
+
+
+def opened(path: str) -> io.BufferedIOBase:
+    system, at = _system(path)
+    return io.BufferedReader(system.open_input_file(at), 1 << 20)
+
+
 class PlyHeader:
     """Format, elements (name, count, properties) and the length of the header."""
 
     def __init__(self, path: str):
         self.elements: list[tuple[str, int, list[tuple]]] = []
-        with open(path, "rb") as f:
+        with opened(path) as f:
             if f.readline().strip() != b"ply":
                 raise ValueError(f"{path} is not a PLY file")
             while (line := f.readline().split()) and line[0] != b"end_header":
@@ -56,8 +83,13 @@ class PlyReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for block, path in enumerate(sorted(glob(self.path, recursive=True))):
+        first = None
+        for block, path in enumerate(matching(self.path)):
             head = PlyHeader(path)
+            kinds = head.element("vertex")[2] if head.element("vertex") else first
+            if first is not None and kinds != first:
+                raise ValueError(f"{path}: its vertices are not of the kind of the first file's")
+            first = kinds
             n = head.element("vertex")[1] if head.element("vertex") else 0
             step = ROWS if head.format != "ascii" else max(n, 1)
             out += [Range(path, block, i, min(n, i + step)) for i in range(0, n, step)]
@@ -70,7 +102,7 @@ class PlyReader(DataSourceReader):
             raise ValueError(f"{part.path}: vertices must be the first element")
         names = [p[0] for p in props]
         at = [names.index(c) if c in names else None for c in self.columns[2:]]
-        with open(part.path, "rb") as f:
+        with opened(part.path) as f:
             f.seek(head.size)
             if head.format == "ascii":
                 rows = (tuple(map(float, f.readline().split())) for _ in range(part.stop))
@@ -90,7 +122,7 @@ class PlySource(DataSource):
         return "ply"
 
     def schema(self) -> str:
-        first = sorted(glob(self.options["path"], recursive=True))[:1]
+        first = matching(self.options["path"])[:1]
         props = PlyHeader(first[0]).element("vertex")[2] if first else [("x",), ("y",), ("z",)]
         return "block int, i long, " + ", ".join(f"`{p[0]}` double" for p in props)
 
@@ -105,7 +137,7 @@ def ply_faces(path: str) -> list[list[int]]:
     if face is None:
         return []
     out = []
-    with open(path, "rb") as f:
+    with opened(path) as f:
         f.seek(head.size)
         if head.format == "ascii":
             for _ in range(vertex[1]):
@@ -124,12 +156,12 @@ class ObjReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[Range]:
-        return [Range(p, b, 0, 0) for b, p in enumerate(sorted(glob(self.path, recursive=True)))]
+        return [Range(p, b, 0, 0) for b, p in enumerate(matching(self.path))]
 
     def read(self, part: Range) -> Iterator[tuple]:
         """Vertices, then faces as they come; a negative index counts back from the vertices so far."""
         seen = faces = 0
-        with open(part.path, encoding="utf-8", errors="replace") as f:
+        with io.TextIOWrapper(opened(part.path), encoding="utf-8", errors="replace") as f:
             for line in f:
                 word = line.split()
                 if not word:
@@ -163,6 +195,47 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ObjSource)
 
 
+def write_ply(spark: SparkSession, path: str, points: DataFrame, order: str, types: dict[str, str], faces: DataFrame | None = None, text: bool = False) -> None:
+    """One PLY file of all the named columns (name: type of the format) of points in order, and of faces
+    (face, idx), as text or little-endian binary.  Rows are packed on the executors and stream through
+    the driver, a partition at a time."""
+    import pyspark.sql.functions as F
+
+    cols, codes = list(types), [np.dtype(PLY_TYPES[t]).newbyteorder("<") for t in types.values()]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.zeros(b.num_rows, list(zip(cols, codes, strict=True)))
+            for c, k in zip(cols, codes, strict=True):
+                rows[c] = b.column(c).to_numpy(zero_copy_only=False).astype(k)
+            if text:
+                data = "".join(" ".join(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) + "\n" for r in rows.tolist()).encode()
+            else:
+                data = rows.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+
+    def packed_faces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("idx").to_pylist()
+            data = "".join(" ".join(map(str, (len(x), *x))) + "\n" for x in lists).encode() if text else b"".join(struct.pack(f"<B{len(x)}i", len(x), *x) for x in lists)
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+
+    head = ["ply", f"format {'ascii' if text else 'binary_little_endian'} 1.0", f"element vertex {points.count()}", *(f"property {t} {c}" for c, t in types.items())]
+    parts = [points.orderBy(order).select(*[F.col(c) for c in cols]).mapInArrow(packed, "data binary")]
+    if faces is not None:
+        head += [f"element face {faces.count()}", "property list uchar int vertex_indices"]
+        parts.append(faces.orderBy("face").select("idx").mapInArrow(packed_faces, "data binary"))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(("\n".join([*head, "end_header"]) + "\n").encode()))
+        for part in parts:
+            for r in part.toLocalIterator():
+                out.write(bytearray(r.data))
+    finally:
+        out.close()
+
+
 def ply_lines(points: DataFrame, order: str, text: bool = True) -> tuple[str, DataFrame]:
     """Header and body lines of an ASCII PLY of points (x, y, z and, if there, red, green, blue)."""
     from pyspark.sql import functions as F

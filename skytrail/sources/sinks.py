@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 from skytrail.functions import text
 
 
-def write_lines(spark: SparkSession, path: str, rows: DataFrame, header: str = "") -> None:
+def write_lines(spark: SparkSession, path: str, rows: DataFrame, header: str = "", overwrite: bool = True) -> None:
     """One text file at exactly this path: the header, then the rows of `value` in their order.
 
-    Rows stream through the driver a partition at a time; files of this kind hold a scene.
+    Rows stream through the driver a partition at a time; files of this kind hold a scene.  Without
+    overwrite a file that is there is an error.
     """
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not overwrite and fs.exists(p):
+        raise FileExistsError(f"{path} already exists")
+    out = fs.create(p, True)
     try:
         if header:
             out.write(bytearray((header + "\n").encode()))
@@ -57,10 +61,32 @@ def write_splits(spark: SparkSession, folder: str, episodes: DataFrame) -> None:
 
 
 def write_episodes(frames: DataFrame, folder: str, overwrite: bool = False, chunk: int = 1000) -> None:
-    """Frames as data/chunk-NNN/episode_NNNNNN/ Parquet folders, each episode in one file and in order."""
+    """Frames as data/chunk-NNN/episode_NNNNNN.parquet, each episode in one file and in order.
+
+    What is there already is an error, or with overwrite goes first.  Spark writes a folder for each
+    episode beside the target; its one file is then renamed, which moves no data.
+    """
+    spark = frames.sparkSession
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    target, work = path(f"{folder}/data"), path(f"{folder}/_writing")
+    fs = target.getFileSystem(conf)
+    if fs.exists(target) and not overwrite:
+        raise FileExistsError(f"{folder}/data already exists")
     out = frames.withColumns({"_chunk": text.chunk_dir("episode_index", chunk), "_stem": text.episode_stem("episode_index")})
     out = out.repartition("episode_index").sortWithinPartitions("episode_index", "frame_index")
-    out.withColumnsRenamed({"_chunk": "chunk", "_stem": "episode"}).write.mode("overwrite" if overwrite else "errorifexists").partitionBy("chunk", "episode").parquet(f"{folder}/data")
+    out.withColumnsRenamed({"_chunk": "chunk", "_stem": "episode"}).write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("chunk", "episode").parquet(work.toString())
+    fs.delete(target, True)
+    for c in fs.listStatus(work):
+        if not c.isDirectory():
+            continue
+        there = path(target, c.getPath().getName().split("=", 1)[1])
+        fs.mkdirs(there)
+        for e in fs.listStatus(c.getPath()):
+            parts = [f.getPath() for f in fs.listStatus(e.getPath()) if f.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise ValueError(f"{e.getPath()}: {len(parts)} files")
+            fs.rename(parts[0], path(there, e.getPath().getName().split("=", 1)[1] + ".parquet"))
+    fs.delete(work, True)
 
 
 def clean(c: Column) -> Column:

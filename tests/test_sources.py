@@ -126,6 +126,10 @@ def test_round_trip_of_generated_poses(spark, tmp_path):
 def test_episode_files(spark, tmp_path):
     f = spark.createDataFrame([(e, i, [0.0] * 4, [0.0] * 4, "e") for e in (0, 1, 1200) for i in range(3)], "episode_index long, frame_index long, state array<float>, actions array<float>, env_id string")
     sinks.write_episodes(f, str(tmp_path / "d"))
-    assert sorted(x.name for x in (tmp_path / "d" / "data").iterdir() if x.is_dir()) == ["chunk=chunk-000", "chunk=chunk-001"]
+    assert sorted(str(x.relative_to(tmp_path / "d")) for x in (tmp_path / "d").rglob("*.parquet")) == ["data/chunk-000/episode_000000.parquet", "data/chunk-000/episode_000001.parquet", "data/chunk-001/episode_001200.parquet"]
+    back = files.read_episodes(spark, str(tmp_path / "d"))
+    assert sorted((r.episode_id, r.frame_index) for r in back.collect()) == [(e, i) for e in (0, 1, 1200) for i in range(3)]
+    sinks.write_episodes(f.filter("episode_index = 1"), str(tmp_path / "d"), overwrite=True)
+    assert len(list((tmp_path / "d").rglob("*.parquet"))) == 1
     with pytest.raises(Exception, match="already exists"):
         sinks.write_episodes(f, str(tmp_path / "d"))
