@@ -1,6 +1,6 @@
 """URL filters: fixed rules first, then a path-template tree.  Per host, variable segments become
-wildcards, branches that cannot be told apart merge, and templates are rejected by the smoothed
-purity of their labelled pages.
+wildcards, siblings that cannot be told apart merge, and templates are rejected by a lower bound of the
+smoothed purity of their labelled pages.
 
 Only DataFrame functions.  The tree is built over distinct (host, segments) patterns with counts,
 so no step sees all pages of a host at once.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skytrail.llm.common import small, stash, table
@@ -24,10 +24,11 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 DEPTH = 4  # levels that the SQL writes out; paths of more segments are beyond it
-WIDE = 20  # a node of more children turns those of under half the mean share into wildcards
-Z = 2.0  # labelled shares that are fewer standard errors apart are not told apart
+WIDE = 20  # a node of more children keeps those that have this part of its pages; the others are one wildcard
+Z = 2.0  # bad shares that are fewer standard errors apart are not told apart
 SMOOTH = 4.0  # labelled pages that the overall share counts as
-REJECT = 0.5
+SURE = 1.645  # standard errors that a template's purity must lie above the limit
+LIFT, LIMIT = 2.0, 0.5  # the limit: so many times the overall share, at most LIMIT
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,15 +55,32 @@ def rule_column(rules: list[tuple[str, str, str]], value) -> Column:
 
 
 def segments() -> Column:
-    """The path's segments, none of an empty path; numbers and long hexadecimal ids are wildcards
-    from the start."""
+    """The path's segments, none of an empty path."""
+    parts = F.split(F.regexp_replace("path", r"^/", ""), "/")
+    return F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)
 
-    def kind(s: Column) -> Column:
-        variable = s.rlike(r"^\d+(\.\w+)?$") | s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike(r"\d")
-        return F.when(variable, F.concat(F.lit("*"), F.regexp_extract(s, r"(\.\w+)$", 1))).otherwise(s)
 
-    parts = F.transform(F.split(F.regexp_replace("path", r"^/", ""), "/"), kind)
-    return F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts)
+def siblings(child: DataFrame) -> DataFrame:
+    """child: host, template, seg, n, labelled, bad.  Adds `to`, the branch that each child becomes.
+
+    In a node of more than WIDE children, all that hold less than a WIDEth of its pages are the wildcard
+    *, so that at most WIDE + 1 branches are left.  These are compared with one another: in the order
+    of their bad shares, neighbours that differ by less than Z standard errors are one branch, {a|b}.
+    Branches without a label tell nothing, and are one of their own.
+    """
+    node = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("all_n"))
+    rare = (F.col("children") > WIDE) & (F.col("n") * WIDE < F.col("all_n"))
+    moves = child.join(node, ["host", "template"]).withColumn("_b", F.when(rare, "*").otherwise(F.col("seg")))
+    branch = moves.groupBy("host", "template", "_b").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("x"))
+    w = Window.partitionBy("host", "template").orderBy(F.col("l") == 0, (F.col("x") + 0.5) / (F.col("l") + 1), "_b")  # at most WIDE + 1 rows
+    l, x, share = F.col("l"), F.col("x"), (F.col("x") + 0.5) / (F.col("l") + 1)
+    l0, x0, share0 = F.lag("l").over(w), F.lag("x").over(w), F.lag(share).over(w)
+    pooled = (x + x0 + 1) / (l + l0 + 2)
+    apart = (l > 0) & (share - share0 > Z * F.sqrt(pooled * (1 - pooled) * (1 / (l + 1) + 1 / (l0 + 1)))) | (l == 0) & (l0 > 0)
+    branch = branch.withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("_k", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    names = F.sort_array(F.collect_list("_b").over(Window.partitionBy("host", "template", "_k")))
+    name = F.when(F.size(names) > 1, F.concat(F.lit("{"), F.array_join(names, "|"), F.lit("}"))).otherwise(F.col("_b"))
+    return moves.join(branch.select("host", "template", "_b", name.alias("to")), ["host", "template", "_b"]).select("host", "template", "seg", "to")
 
 
 def templates(patterns: DataFrame) -> DataFrame:
@@ -91,16 +109,7 @@ def templates(patterns: DataFrame) -> DataFrame:
         done.append(level.filter("seg is null").select(*columns))
         level = level.filter("seg is not null")
         child = level.groupBy("host", "template", "seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        node = child.groupBy("host", "template").agg(F.count("*").alias("children"), *[F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "bad")])
-        both = child.join(node, ["host", "template"])
-        share = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
-        off = F.abs(F.col("bad") / F.greatest(F.lit(1), F.col("labelled")) - share)
-        alike = (F.col("labelled") == 0) | (off < Z * F.sqrt(share * (1 - share) / F.greatest(F.lit(1), F.col("labelled"))))
-        rare = (F.col("children") > WIDE) & (2 * F.col("n") * F.col("children") < F.col("all_n"))
-        # Rare children are one wildcard; children whose bad share is that of all are one branch.
-        to = F.when(rare, "*").when((F.col("children") > 1) & alike, "~").otherwise(F.col("seg"))
-        moves = both.select("host", "template", "seg", to.alias("_to"))
-        level = level.join(moves, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "_to"))
+        level = level.join(siblings(child), ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "to"))
         level = stash(level.withColumn("rest", F.slice("rest", F.lit(2), F.size("rest"))).select(*columns, "rest"), f"level{i}")
         i += 1
 
@@ -108,6 +117,9 @@ def templates(patterns: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity (its smoothed share of bad pages).
 
+    The method blocks a template whose purity is, by SURE standard errors, above LIFT times the share of
+    bad pages among all that are labelled, or above LIMIT if that is less.
+
     labels: page_id and bad (0 or 1); null labels do not count.  Pages without a url have empty host
     and path and are judged by the template of these.  Repeated rows count as often as they occur.
     Without labels nothing is rejected by the method.
@@ -121,11 +133,13 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     found = templates(stash(patterns, "patterns"))
     prior = rows.agg(F.coalesce(F.avg("_bad"), F.lit(0.0)).alias("prior"))
     tree = found.groupBy("host", "template").agg(F.sum("labelled").alias("_l"), F.sum("bad").alias("_b")).crossJoin(F.broadcast(prior))  # one row
-    tree = tree.select("host", "template", ((F.col("_b") + SMOOTH * F.col("prior")) / (F.col("_l") + SMOOTH)).alias("purity"))
+    purity = (F.col("_b") + SMOOTH * F.col("prior")) / (F.col("_l") + SMOOTH)
+    tree = tree.withColumn("purity", purity).withColumn("_sure", F.col("purity") - SURE * F.sqrt(F.col("purity") * (1 - F.col("purity")) / (F.col("_l") + SMOOTH)))
+    tree = tree.select("host", "template", "purity", (F.col("_sure") > F.least(F.lit(LIMIT), LIFT * F.col("prior"))).alias("_reject"))
     judged = stash(found.select(*keys, "template").join(tree, ["host", "template"]), "templates")
-    side = judged.select(*[F.col(k).alias(f"_{k}") for k in keys], "template", "purity")
+    side = judged.select(*[F.col(k).alias(f"_{k}") for k in keys], "template", "purity", "_reject")
     out = rows.join(small(side, side.count(), 200_000), (rows["host"] == side["_host"]) & (rows["segs"] == side["_segs"]))
-    method = F.when(F.col("purity") > REJECT, "block").otherwise("allow")
+    method = F.when(F.col("_reject"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule_column(rules, lambda v, r: r).alias("rule"), F.coalesce(rule_column(rules, lambda v, r: v), method).alias("verdict"), "template", "purity")
 
 
@@ -144,12 +158,10 @@ def _oracle() -> str:
     longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(f"(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}')", h + p, v) for v, h, p in longest]
     rule, verdict = ("case " + " ".join(f"when {c} then '{x[k]}'" for c, *x in fits) + " end" for k in (0, 1))
-    number, ident = r"^\d+(\.\w+)?$", r"^[0-9a-fA-F-]{8,}$"
 
     def seg(i: int) -> str:
         s = f"parts[{i + 1}]" if i < DEPTH - 1 else f"case when len(parts) >= {DEPTH} then array_to_string(parts[{DEPTH}:], '/') end"
-        variable = rf"regexp_matches({s}, '{number}') or regexp_matches({s}, '{ident}') and regexp_matches({s}, '\d')"
-        return rf"case when path = '' then null when {variable} then '*' || regexp_extract({s}, '(\.\w+)$', 1) else {s} end s{i}"
+        return f"case when path = '' then null else {s} end s{i}"
 
     sql = rf"""with u as (
   select page_id, url, coalesce(case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end, '') rest from pages),
@@ -165,25 +177,28 @@ p as (
 r as (select page_id, host, path, bad, {", ".join(map(seg, range(DEPTH)))} from p),
 lv0 as (select host, {", ".join(cols)}, count(*) n, count(bad) labelled, coalesce(sum(bad), 0) bad, '' template from r group by all)"""
     for i in range(DEPTH):
-        share = "((all_bad + 1) / (all_labelled + 2))"
+        part = "partition by host, template"
         sql += f""",
 child{i} as (select host, template, s{i}, sum(n) n, sum(labelled) labelled, sum(bad) bad from lv{i} where s{i} is not null group by 1, 2, 3),
-node{i} as (select host, template, count(*) children, sum(n) all_n, sum(labelled) all_labelled, sum(bad) all_bad from child{i} group by 1, 2),
-move{i} as (
-  select host, template, s{i}, case when children > {WIDE} and 2 * n * children < all_n then '*'
-         when children > 1 and (labelled = 0 or abs(bad / greatest(1, labelled) - {share}) < {Z}e0 * sqrt({share} * (1 - {share}) / greatest(1, labelled))) then '~' else s{i} end moved
-  from child{i} join node{i} using (host, template)),
+way{i} as (select *, case when count(*) over ({part}) > {WIDE} and n * {WIDE} < sum(n) over ({part}) then '*' else s{i} end b from child{i}),
+branch{i} as (select host, template, b, sum(labelled)::double l, sum(bad)::double x, (sum(bad) + 0.5e0) / (sum(labelled) + 1) share from way{i} group by 1, 2, 3),
+next{i} as (select *, lag(l) over w l0, lag(x) over w x0, lag(share) over w share0 from branch{i} window w as ({part} order by l = 0, share, b)),
+cut{i} as (select *, (l > 0 and share - share0 > {Z}e0 * sqrt((x + x0 + 1) / (l + l0 + 2) * (1 - (x + x0 + 1) / (l + l0 + 2)) * (1 / (l + 1) + 1 / (l0 + 1))) or l = 0 and l0 > 0)::int new_ from next{i}),
+group{i} as (select *, sum(coalesce(new_, 0)) over ({part} order by l = 0, share, b rows unbounded preceding) k from cut{i}),
+name{i} as (select host, template, k, case when count(*) > 1 then '{{{{' || string_agg(b, '|' order by b) || '}}}}' else min(b) end moved from group{i} group by 1, 2, 3),
+move{i} as (select host, template, s{i}, moved from way{i} join group{i} using (host, template, b) join name{i} using (host, template, k)),
 lv{i + 1} as (
   select a.host, {", ".join(f"a.{c}" for c in cols)}, a.n, a.labelled, a.bad, case when a.s{i} is null then a.template else a.template || '/' || moved end template
-  from lv{i} a left join move{i} b on a.host = b.host and a.template = b.template and a.s{i} = b.s{i})"""
+  from lv{i} a left join move{i} b on a.host = b.host and a.template = b.template and a.s{i} = b.s{i})""".replace("{{", "{").replace("}}", "}")
     match = " and ".join(["r.host = t.host", *(f"r.{c} is not distinct from t.{c}" for c in cols)])
     return (
         sql
         + f""",
 prior as (select coalesce(avg(bad), 0) prior from r),
-tree as (select host, template, (sum(bad) + {SMOOTH}e0 * any_value(prior)) / (sum(labelled) + {SMOOTH}e0) purity from lv{DEPTH}, prior group by 1, 2)
+pure as (select host, template, sum(labelled) l, any_value(prior) prior, (sum(bad) + {SMOOTH}e0 * any_value(prior)) / (sum(labelled) + {SMOOTH}e0) purity from lv{DEPTH}, prior group by 1, 2),
+tree as (select *, purity - {SURE}e0 * sqrt(purity * (1 - purity) / (l + {SMOOTH}e0)) > least({LIMIT}e0, {LIFT}e0 * prior) reject from pure)
 select page_id, r.host as host, path, {rule.replace("(host", "(r.host").replace("(host,", "(r.host,")} as rule,
-  coalesce({verdict.replace("(host", "(r.host").replace("(host,", "(r.host,")}, case when purity > {REJECT}e0 then 'block' else 'allow' end) verdict, t.template as template, round(purity, 9) purity
+  coalesce({verdict.replace("(host", "(r.host").replace("(host,", "(r.host,")}, case when reject then 'block' else 'allow' end) verdict, t.template as template, round(purity, 9) purity
 from r join lv{DEPTH} t on {match} join tree on tree.host = t.host and tree.template = t.template"""
     )
 

@@ -26,7 +26,7 @@ def test_rules(spark):
 
 
 def test_templates(spark):
-    """Numbers are wildcards; a branch that is mostly bad is told apart and rejected; the rest merges."""
+    """Ids are wildcards; a branch that is mostly bad is told apart and rejected; its siblings merge."""
     rows, labels = [], []
     for i in range(600):
         kind = ("news", "spam", "blog")[i % 3]
@@ -36,14 +36,14 @@ def test_templates(spark):
     by = {}
     for r in got:
         by.setdefault(rows[r.page_id][1].split("/")[3], set()).add((r.template, r.verdict))
-    assert by == {"news": {("/news/*", "allow")}, "spam": {("/spam/*", "block")}, "blog": {("/blog/*", "allow")}}
+    assert by == {"news": {("/{blog|news}/*", "allow")}, "spam": {("/spam/*", "block")}, "blog": {("/{blog|news}/*", "allow")}}
 
 
 def test_wide_nodes_and_alike_branches(spark):
     rows = [(i, f"http://w.test/t{i}/x") for i in range(100)] + [(100 + i, f"http://a.test/{'abc'[i % 3]}/p") for i in range(300)]
     labels = [(i, int(i % 2)) for i in range(100, 400)]
     got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=[]).collect()
-    assert {r.template for r in got if r.page_id >= 100} == {"/~/p"}
+    assert {r.template for r in got if r.page_id >= 100} == {"/{a|b|c}/p"}
     assert len({r.template for r in got if r.page_id < 100}) == 1
 
 
@@ -58,7 +58,8 @@ def test_bad_branch_below_the_fourth_segment(spark):
     by = {}
     for r in got:
         by.setdefault(rows[r.page_id][1].split("/")[9], set()).add((r.template, r.verdict))
-    assert by == {k: {(f"/blog/*/*/a/b/c/{k}/*", "block" if k == "spam" else "allow")} for k in ("spam", "news", "blog")}
+    clean = {("/blog/2023/05/a/b/c/{blog|news}/*", "allow")}
+    assert by == {"spam": {("/blog/2023/05/a/b/c/spam/*", "block")}, "news": clean, "blog": clean}
 
 
 def plain_templates(patterns):
@@ -74,15 +75,24 @@ def plain_templates(patterns):
                 nodes.setdefault(at, []).append(p)
         for at, ps in nodes.items():
             child = {}
-            for s, *c in ps:
-                child[s[depth]] = [a + b for a, b in zip(child.get(s[depth], [0, 0, 0]), c)]
-            n, lab, bad = (sum(c[i] for c in child.values()) for i in range(3))
-            share = (bad + 1) / (lab + 2)
-            for p in ps:
-                cn, cl, cb = child[p[0][depth]]
-                rare = len(child) > url_filter.WIDE and 2 * cn * len(child) < n
-                alike = not cl or abs(cb / cl - share) < url_filter.Z * (share * (1 - share) / cl) ** 0.5
-                nxt.append(((*at, "*" if rare else "~" if len(child) > 1 and alike else p[0][depth]), p))
+            for q, *c in ps:
+                child[q[depth]] = [a + b for a, b in zip(child.get(q[depth], [0, 0, 0]), c)]
+            pages = sum(c[0] for c in child.values())
+            way = {q: "*" if len(child) > url_filter.WIDE and url_filter.WIDE * c[0] < pages else q for q, c in child.items()}
+            branch = {}
+            for q, c in child.items():
+                branch[way[q]] = [a + b for a, b in zip(branch.get(way[q], [0, 0]), c[1:])]
+            known = sorted(((x + 0.5) / (lab + 1), b) for b, (lab, x) in branch.items() if lab)
+            groups = [[b for b, (lab, _) in branch.items() if not lab]]
+            for i, (share, b) in enumerate(known):
+                if i:
+                    (l0, x0), (l1, x1) = branch[known[i - 1][1]], branch[b]
+                    pooled = (x0 + x1 + 1) / (l0 + l1 + 2)
+                if not i or share - known[i - 1][0] > url_filter.Z * (pooled * (1 - pooled) * (1 / (l1 + 1) + 1 / (l0 + 1))) ** 0.5:
+                    groups.append([])
+                groups[-1].append(b)
+            name = {b: g[0] if len(g) == 1 else "{" + "|".join(sorted(g)) + "}" for g in groups for b in g}
+            nxt += [((*at, name[way[p[0][depth]]]), p) for p in ps]
         level, depth = nxt, depth + 1
     return out
 
@@ -110,5 +120,34 @@ def test_purity_is_smoothed(spark):
     assert got[0].purity == pytest.approx((10 + 4 * 0.1) / 14) and got[50].purity == pytest.approx(0.4 / 94)
 
 
+def test_held_out_pages(spark):
+    """Hosts with a bad section each, of another name and depth, among clean hosts: templates are learned
+    from a third of the pages' labels, and judge the others."""
+    rng = random.Random(11)
+    rows, truth = [], {}
+    for i in range(6000):
+        host = rng.randrange(12)
+        bad_section = f"s{host % 4}"
+        section = f"s{rng.randrange(6)}"
+        path = [section, "x", str(rng.randrange(10**6))] if host % 2 else ["t", section, f"p{rng.randrange(10**6)}.html"]
+        truth[i] = int(rng.random() < (0.9 if host < 8 and section == bad_section else 0.03))
+        rows.append((i, f"https://h{host}.test/" + "/".join(path), int(host < 8 and section == bad_section)))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, b in truth.items() if i % 3 == 0], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, rules=[]).collect()}
+    held = [(planted, got[i] == "block") for i, _, planted in rows if i % 3]
+    assert sum(b for p, b in held if p) >= 0.95 * sum(p for p, _ in held)
+    assert sum(b for p, b in held if not p) <= 0.02 * sum(not p for p, _ in held)
+
+
+def test_random_labels_reject_next_to_nothing(spark):
+    """Labels that have nothing to do with the urls."""
+    rng = random.Random(12)
+    rows = [(i, f"https://h{rng.randrange(30)}.test/{rng.choice(('en', 'de', 'fr'))}/{rng.randrange(10**5)}") for i in range(5000)]
+    labels = [(i, int(rng.random() < 0.14)) for i in range(0, 5000, 2)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=[])
+    assert got.filter("verdict = 'block'").count() <= 50
+
+
 def test_empty(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).collect() == []
