@@ -180,22 +180,33 @@ def write_packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def read_packages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(b.num_rows):
-            buf = memoryview(b.column(0)[i].as_buffer())
-            rows = []
-            for entry, head, body in Archive(lambda at, n, buf=buf: bytes(buf[at : at + n]), len(buf)).records():
-                kind, sha1 = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
-                refers = head.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-                if kind == "response" and digest(body) != sha1:
-                    raise ValueError("a payload does not have its digest")
-                rows.append((entry["page_id"], head["warc-target-uri"], int(head.get("x-payload-length", len(body))), sha1, kind, int(refers) if refers else None, body if kind == "response" else None))
-            cols = list(zip(*rows, strict=True)) or [()] * len(READ)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, READ, strict=True)], schema=READ)
-
-
-READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+def read_packages(payloads: bool):
+    """(package) to a row a record; a package that cannot be read has one row with its error after those
+    of the records before the fault."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for package in b.column(0):
+                rows = []
+                try:
+                    if not package.is_valid:
+                        raise ValueError("no package")
+                    buf = memoryview(package.as_buffer())
+                    for entry, head, body in Archive(lambda at, n, buf=buf: bytes(buf[at : at + n]), len(buf)).records():
+                        kind, sha1 = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
+                        refers = head.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
+                        if kind == "response" and digest(body) != sha1:
+                            raise ValueError("a payload does not have its digest")
+                        rows.append((entry["page_id"], head["warc-target-uri"], int(head.get("x-payload-length", len(body))), sha1, kind, int(refers) if refers else None, body if payloads and kind == "response" else None, None))
+                except (LookupError, OverflowError, TypeError, ValueError, struct.error) as e:
+                    rows.append((*[None] * 7, f"{type(e).__name__}: {e}"))
+                cols = list(zip(*rows, strict=True)) or [()] * len(READ)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, READ, strict=True)], schema=READ)
+
+    return run
+
+
+READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
 
 
 def write_archives(pages: DataFrame, min_bytes: int = RESPONSE_MIN) -> DataFrame:
@@ -218,14 +229,19 @@ def write_archives(pages: DataFrame, min_bytes: int = RESPONSE_MIN) -> DataFrame
     return stash(found.select("page_id", "url", "payload", refers.alias("refers")).mapInArrow(write_packages, "n long, package binary"), "packages")
 
 
-def read_archives(packages: DataFrame) -> DataFrame:
-    """One row a record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
-    return packages.select("package").mapInArrow(read_packages, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+def read_archives(packages: DataFrame, payloads: bool = True) -> DataFrame:
+    """One row a record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (of
+    responses, if they are asked for) and error.
+
+    A package that is null, malformed or cut short has a row with its error and nothing else, beside
+    the records before the fault; so has one whose payload lacks its digest.
+    """
+    return packages.select("package").mapInArrow(read_packages(payloads), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, error string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return read_archives(write_archives(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(write_archives(pages), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

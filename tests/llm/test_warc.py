@@ -89,3 +89,16 @@ def test_short_payloads_and_no_rows(spark):
     df = spark.createDataFrame(ROWS, "page_id long, url string, html string")
     assert all(r.record_type == "response" for r in warc.read_archives(warc.write_archives(df, 10**6)).collect())
     assert warc.read_archives(warc.write_archives(df.limit(0))).collect() == []
+
+
+def test_packages_that_cannot_be_read(spark):
+    """Cut, changed, empty and null packages have a row with their error, and nothing raises."""
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 20) for i in range(6)], "page_id long, url string, html string")
+    good = [bytes(r.package) for r in warc.write_archives(pages).collect()]
+    body = good[0].index(b"page ")
+    bad = [b"", b"no zip", good[0][:-30], good[0][:body] + b"P" + good[0][body + 1 :], None, good[0].replace(b"PK\1\2", b"PK\1\3")]
+    df = spark.createDataFrame([(bytearray(x) if x is not None else None,) for x in good + bad], "package binary")
+    rows = warc.read_archives(df).collect()
+    assert sum(r.error is not None for r in rows) == len(bad)
+    assert {r.page_id for r in rows if r.error is None} == set(range(6))
+    assert all(r.payload is None for r in warc.read_archives(df, payloads=False).collect())
