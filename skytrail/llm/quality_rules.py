@@ -39,20 +39,23 @@ CLOSE = 0.97
 
 
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns BASE and EXTRA (all long).  Null text has no words.
+    """docs with the columns BASE and EXTRA (all long), which take the place of docs' own ones of these
+    names.  Null text has no words.
 
     Windows of five words are compared by 64-bit hashes within their own text alone.  Only texts
     that do repeat a window sort their windows; the work is n log n in the words of a text.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    df = docs.withColumn("_t", t).withColumn("_w", F.array_remove(F.split("_t", WHITE), ""))
+    others = [c for c in docs.columns if c not in (*BASE, *EXTRA)]
+    # The row travels as one struct, so that its columns may have any names.
+    df = docs.select(F.struct(*others).alias("_row"), t.alias("_t")).withColumn("_w", F.array_remove(F.split("_t", WHITE), ""))
     df = df.withColumn("_n", F.size("_w"))
     at = F.when(F.col("_n") >= WINDOW, F.sequence(F.lit(0), F.col("_n") - WINDOW)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("_at", at).withColumn("_h", F.transform("_at", lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(WINDOW)])))
     lines = F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(WHITE_CHARS)) != "")
     gone = lambda chars: (F.length("_t") - F.length(F.translate("_t", chars, ""))).cast("long")
     df = df.withColumn("_l", lines).select(
-        *docs.columns,
+        "_row",
         F.col("_n").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         gone("#*$%&|<>").alias("n_symbols"),
@@ -67,7 +70,7 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     starts = F.sort_array(F.transform(twice, lambda x: x["i"]))
     covered = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(p, a["end"])).alias("n"), (p + WINDOW).alias("end")), lambda a: a["n"])
     df = df.withColumn("n_repeat_words", F.when(F.col("_s").isNull(), 0).otherwise(covered).cast("long"))
-    return df.select(*docs.columns, *BASE, *EXTRA)
+    return df.select(*[F.col("_row")[c].alias(c) for c in others], *BASE, *EXTRA)
 
 
 def base_failed() -> Column:

@@ -87,3 +87,9 @@ def test_odd_rows(spark, odd, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "2", "9", "None"]
     assert q.keep_good(none, labels).collect() == []
     assert kept.filter(F.col("h") != "k").count() == 0
+
+
+def test_columns_of_clashing_names(spark):
+    rows = [(1, "one two three", "w", "t", [1], 9)]
+    got = q.counts(spark.createDataFrame(rows, "doc_id long, text string, _w string, _t string, _h array<int>, n_words int")).first()
+    assert (got.doc_id, got.text, got._w, got._t, got._h, got.n_words) == (1, "one two three", "w", "t", [1], 3)
