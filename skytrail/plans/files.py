@@ -36,7 +36,7 @@ def pose_files(spark: SparkSession, d: str) -> str:
 
 
 @query("scan_poses", with_views(TRACK) + """select env_id, traj_id * 100000 + pose_id pose_id, round(x::float::double, 4) x, round(z::float::double, 4) z,
-  round(radians(((kappa + 180e0) % 360e0 + 360e0) % 360e0 - 180e0), 4) a from v_track""")
+  round(radians(((kappa + 180e0) % 360e0 + 360e0) % 360e0 - 180e0)::float::double, 4) a from v_track""")
 def scan_poses(spark: SparkSession, d: str) -> DataFrame:
     s = text.states(text.read_poses(spark, f"{pose_files(spark, d)}/*/traj_random.txt"), "hl")
     return s.select("env_id", "pose_id", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("x", "z", "a")])
