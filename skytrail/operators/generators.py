@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from skytrail.functions import angles
 from skytrail.operators import geometry
+from skytrail.operators.outlines import grow_ring
 from skytrail.sources.scratch import small, written
 
 POINT = "array<struct<stage:int,x:double,y:double,z:double,yaw:double>>"
@@ -135,17 +136,6 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(n > 1e-12, n, 1.0)
 
 
-def offset_ring(ring: np.ndarray, distance: float, limit: float = 5.0) -> np.ndarray:
-    """A closed ring moved outwards: each corner goes along its bisector, at most `limit` distances."""
-    area = np.sum(ring[:, 0] * np.roll(ring[:, 1], -1) - np.roll(ring[:, 0], -1) * ring[:, 1])
-    ring = ring if area > 0 else ring[::-1]
-    ahead = unit(np.roll(ring, -1, axis=0) - ring)
-    normal = np.stack((ahead[:, 1], -ahead[:, 0]), axis=1)
-    bisector = unit(normal + np.roll(normal, 1, axis=0))
-    cos = np.maximum(np.sum(bisector * normal, axis=1), 1 / limit)
-    return ring + bisector * (distance / cos)[:, None]
-
-
 def along(path: np.ndarray, step: float, closed: bool = False) -> np.ndarray:
     """Points at equal steps along a path; a closed one does not repeat its first."""
     p = np.vstack((path, path[:1])) if closed else path
@@ -261,7 +251,7 @@ class Path:
 
 def inspect_building(xy: np.ndarray, z: float, rng: np.random.Generator, expand: float = 8.0, window: int = 9, iterations: int = 2, step: float = 1.0, yaw_step: float = 5.0, radius: float = 60.0) -> list[tuple]:
     """Stages: move over, descend, turn, loop, ascend, return."""
-    ring = along(offset_ring(xy, expand), step, closed=True)
+    ring = along(grow_ring(xy, expand), step, closed=True)
     for _ in range(iterations):
         ring = smooth(ring, window, closed=True)
     angle, r, high = rng.uniform(0, 2 * math.pi), radius * math.sqrt(rng.random()), z + rng.uniform(60, 80)
@@ -309,9 +299,9 @@ def follow_road(xy: np.ndarray, z: float, rng: np.random.Generator, inset: float
     return p.points
 
 
-def map_field(xy: np.ndarray, z: float, rng: np.random.Generator, swath: float = 40.0, overlap: float = 0.2, step: float = 1.0, yaw_step: float = 5.0) -> list[tuple]:
+def map_field(xy: np.ndarray, z: float, rng: np.random.Generator, swath: float = 40.0, overlap: float = 0.2, step: float = 1.0, yaw_step: float = 5.0, expand: float = 0.0) -> list[tuple]:
     """Stages: descend, turn, sweep, ascend."""
-    corners = sweep(xy, max(0.1, swath * (1 - overlap)))
+    corners = sweep(grow_ring(xy, expand), max(0.1, swath * (1 - overlap)))
     if len(corners) < 2:
         return []
     line, high = along(corners, step), z + rng.uniform(60, 80)

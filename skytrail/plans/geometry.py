@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skytrail.functions import camera, text
 from skytrail.operators import generators, geometry
+from skytrail.operators import outlines as kernels
 from skytrail.plans.catalog import query
 from skytrail.plans.evaluation import MESH, rounded, scene_mesh, sql_wrap
 from skytrail.plans.views import FRAMES, TRACK, table, v_frames, v_track, with_views
@@ -241,6 +242,26 @@ def clean_mesh(spark: SparkSession, d: str) -> DataFrame:
     return geometry.clean_mesh(f.select("face", F.array("a", "b", "c").alias("idx"))).select("face")
 
 
+@query("decimate_blocks", """select n_nationkey block, 2 * (8 + n_nationkey % 5) * (8 + n_nationkey % 5) n_faces,
+greatest(4, floor(2 * (8 + n_nationkey % 5) * (8 + n_nationkey % 5) * 0.25)::bigint) target, true reached, true inside from nation""")
+def decimate_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A hilly square of 8 to 12 cells a side for each nation, a quarter of its faces kept, none outside.
+    A merged edge takes two faces with it, so the last may go one below the target."""
+    n = F.col("n_nationkey").cast("long")
+    cells = table(spark, d, "nation").select(n.alias("block"), (8 + n % 5).alias("n"))
+    c = F.col("n") + 1
+    v = cells.select("block", "n", F.explode(F.sequence(F.lit(0).cast("long"), c * c - 1)).alias("i"))
+    v = v.select("block", "i", (F.col("i") % c).cast("double").alias("x"), F.floor(F.col("i") / c).cast("double").alias("y"))
+    v = v.withColumn("z", F.sin(F.col("x") + F.col("block")) * F.cos(F.col("y") * 0.7))
+    f = cells.select("block", "n", F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.col("n") * F.col("n") - 1)).alias("face"))
+    at = (F.floor(F.col("face") / 2 / F.col("n")) * c + F.floor(F.col("face") / 2) % F.col("n")).cast("long")
+    f = f.withColumn("idx", F.when(F.col("face") % 2 == 0, F.array(at, at + 1, at + c)).otherwise(F.array(at + 1, at + c + 1, at + c)))
+    tri = kernels.decimate_blocks(v, f, 0.25).groupBy("block").agg(F.count("*").alias("n_triangles"), F.max(F.greatest(*[F.col(f"{p}{a}") for p in "abc" for a in "xy"])).alias("hi"))
+    sizes = f.groupBy("block", "n").agg(F.count("*").alias("n_faces"))
+    target = F.greatest(F.lit(4), F.floor(F.col("n_faces") * 0.25))
+    return sizes.join(tri, "block").select("block", "n_faces", target.alias("target"), F.col("n_triangles").between(target - 1, target).alias("reached"), (F.col("hi") < F.col("n") + 0.5).alias("inside"))
+
+
 def landmarks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 30.0).alias("x"), (F.col("n_regionkey") * 40.0).alias("y"))
 
