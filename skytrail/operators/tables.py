@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -54,3 +54,10 @@ def with_error(value: Callable[[pd.Series], float], missing: float = math.nan) -
             return missing, f"{type(e).__name__}: {e}"
 
     return run
+
+
+def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """df with a count of its rows, and of those that meet each condition, as the job that runs it goes
+    along; `get` of the second waits for that job.  No pass of its own over the data."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counts.items()]), seen

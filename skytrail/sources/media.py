@@ -75,6 +75,47 @@ def decode_png(data: bytes) -> np.ndarray:
     return pixels.astype(np.uint16) if size == 2 else pixels
 
 
+SHARES = 22  # fixed value: bits of a weight in 8-bit resampling
+
+
+def _weights(old: int, new: int) -> np.ndarray:
+    """(new, old): each new sample's share of the old ones by a triangle around its centre, as wide as the
+    larger of both samples, in units of 2**-SHARES."""
+    scale = old / new
+    wide = max(scale, 1.0)
+    centre = (np.arange(new) + 0.5) * scale
+    lo = np.maximum(0, np.floor(centre - wide + 0.5)).astype(int)
+    hi = np.minimum(old, np.floor(centre + wide + 0.5)).astype(int)
+    x = np.arange(old)
+    w = np.maximum(0.0, 1 - np.abs(x + 0.5 - centre[:, None]) / wide) * ((x >= lo[:, None]) & (x < hi[:, None]))
+    return np.floor(w / w.sum(axis=1, keepdims=True) * (1 << SHARES) + 0.5).astype(np.int64)
+
+
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """(height, width, channels) of uint8 by bilinear resampling, along the rows first; larger images are averaged,
+    not skipped over."""
+    image = image if image.ndim == 3 else image[..., None]
+    if image.dtype != np.uint8 or min(height, width, *image.shape) < 1:
+        raise ValueError("resampling takes 8-bit images of at least one pixel")
+    for axis, size in ((1, width), (0, height)):
+        if image.shape[axis] != size:
+            sums = np.tensordot(_weights(image.shape[axis], size), image.astype(np.int64), axes=(1, axis))
+            image = np.moveaxis(np.clip((sums + (1 << SHARES - 1)) >> SHARES, 0, 255).astype(np.uint8), 0, axis)
+    return image
+
+
+def side_by_side(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Two images of equal channels as one, both as high as the higher one."""
+    high = max(left.shape[0], right.shape[0])
+    return np.concatenate([resize(x, high, max(1, round(x.shape[1] * high / x.shape[0]))) for x in (left, right)], axis=1)
+
+
+@F.pandas_udf(BinaryType())
+def resized_png(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+    """A PNG of 8 bits a sample at another size; null for null, an error for what is no such image."""
+    return pd.Series([None if d is None else encode_png(resize(decode_png(d), int(h), int(w))) for d, h, w in zip(data, height, width, strict=True)], dtype=object)
+
+
 def depth_pixels(metres: np.ndarray) -> np.ndarray:
     """uint16 centimetres, truncated; 0 where there is no depth."""
     return np.clip(np.nan_to_num(np.asarray(metres, float) * 100.0, nan=0.0), 0, 65535).astype(np.uint16)

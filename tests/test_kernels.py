@@ -3,8 +3,9 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from skytrail.operators import evaluate, generators
+from skytrail.operators import evaluate, generators, tables
 from skytrail.sources import media
 
 
@@ -83,3 +84,36 @@ def test_first_hit_distance(spark):
     seg = spark.createDataFrame([("e", 1, 0.0, 0.0, 0.0, 10.0, 0.0, 0.0), ("e", 2, 0.0, 0.0, 0.0, 2.0, 0.0, 0.0), ("e", 3, 10.0, 0.0, 0.0, 0.0, 0.0, 0.0), ("f", 4, 0.0, 0.0, 0.0, 10.0, 0.0, 0.0)], "env_id string, k long, " + ", ".join(f"p{i}{c} double" for i in (0, 1) for c in "xyz"))
     got = {r.k: round(r.distance, 9) for r in evaluate.segment_hits(seg, tri, ["env_id"], ["k"]).collect()}
     assert got == {1: 3.0, 3: 3.0}
+
+
+def test_resize_by_its_definition():
+    rng = np.random.default_rng(8)
+    for shape, to in (((7, 5, 3), (4, 9)), ((12, 10, 1), (3, 3)), ((2, 3, 4), (8, 8)), ((300, 40, 3), (256, 256))):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        got = media.resize(image, *to)
+        want = image.astype(float)
+        for axis, size in ((1, to[1]), (0, to[0])):
+            scale, lines = want.shape[axis] / size, []
+            for i in range(size):
+                at, wide = (i + 0.5) * scale, max(scale, 1.0)
+                w = np.array([max(0.0, 1 - abs(j + 0.5 - at) / wide) for j in range(want.shape[axis])])
+                lines.append(np.tensordot(w / w.sum(), want, axes=(0, axis)))
+            want = np.stack(lines, axis=axis)
+        assert got.shape == (*to, shape[2]) and np.abs(got - want).max() <= 1.001
+    flat = np.full((9, 11, 3), 200, np.uint8)
+    assert (media.resize(flat, 256, 256) == 200).all() and np.array_equal(media.resize(image, *image.shape[:2]), image)
+    both = media.side_by_side(flat, np.zeros((18, 4, 3), np.uint8))
+    assert both.shape == (18, 22 + 4, 3) and (both[:, :22] == 200).all() and (both[:, 22:] == 0).all()
+
+
+def test_resized_png_of_a_column(spark):
+    image = np.arange(48, dtype=np.uint8).reshape(4, 4, 3)
+    df = spark.createDataFrame([(1, bytearray(media.encode_png(image))), (2, None)], "k int, png binary")
+    got = {r.k: r.png for r in df.selectExpr("k", "png", "2 h", "6 w").select("k", media.resized_png("png", "h", "w").alias("png")).collect()}
+    assert np.array_equal(media.decode_png(bytes(got[1])), media.resize(image, 2, 6)) and got[2] is None
+
+
+def test_counts_come_with_the_job(spark):
+    df, seen = tables.counted(spark.range(100), "frames", even=F.col("id") % 2 == 0, none=F.lit(None).cast("boolean"))
+    assert df.count() == 100
+    assert seen.get == {"rows": 100, "even": 50, "none": 0}
