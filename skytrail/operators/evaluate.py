@@ -144,7 +144,8 @@ def segment_hits(segments: DataFrame, triangles: DataFrame, on: list[str], key:
         offsets = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", o, strict=True)]) for o in itertools.product(range(most), repeat=3)])
         df = df.withColumns(at).withColumn("_o", F.explode(offsets))
         df = df.withColumns({f"_c{c}": F.col(f"{prefix}{c}") + F.col("_o")[c] for c in "xyz"})
-        return df.filter(" and ".join(f"_c{c} <= floor(_max{c} / _width)" for c in "xyz")).drop("_o", *[f"{m}{c}" for m in ("_min", "_max") for c in "xyz"])
+        df = df.filter(" and ".join(f"_c{c} <= floor(_max{c} / _width)" for c in "xyz")).drop("_o")
+        return df.withColumnsRenamed({f"{m}{c}": f"{prefix}{m}{c}" for m in ("_min", "_max") for c in "xyz"})
 
     tri = spread(tri, "_t", 2)
     seg = segments.select(*on, *key, *[F.col(f"p{i}{c}").cast("double").alias(f"p{i}{c}") for i in (0, 1) for c in "xyz"]).withColumn("_len", angles.distance(p0, p1)).filter("_len > 1e-12").join(widths, on)
@@ -158,6 +159,8 @@ def segment_hits(segments: DataFrame, triangles: DataFrame, on: list[str], key:
     tasks = int(seg.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = spread(seg, "_s", 3).repartition(tasks, *key, "_i").join(tri, [*on, "_width", "_cx", "_cy", "_cz"])
     both = both.filter(reduce(Column.__and__, [F.col(f"_c{c}") == F.greatest(f"_s{c}", f"_t{c}") for c in "xyz"]))
+    # Of those in one cell, only a piece and a triangle whose boxes meet are measured.
+    both = both.filter(" and ".join(f"_s_min{c} <= _t_max{c} and _s_max{c} >= _t_min{c}" for c in "xyz"))
     # One step after another, as a single expression would be too long for generated code.
     vector = lambda name: [F.col(f"{name}{k}") for k in "xyz"]
     columns = lambda name, values: {f"{name}{k}": v for k, v in zip("xyz", values, strict=True)}
