@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from functools import reduce
 
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytrail.functions import angles
+from skytrail.operators.hits import segment_hits
 
 XYZ, PXYZ = ["x", "y", "z"], ["px", "py", "pz"]
 
@@ -121,72 +121,10 @@ def soft_dtw_scores(frames: DataFrame, yaw_weight: float = 0.1, gamma: float = 0
     return out.withColumn("ndtw", angles.ndtw("dtw", "num_gt", eta, clip))
 
 
-def segment_hits(segments: DataFrame, triangles: DataFrame, on: list[str], key: list[str]) -> DataFrame:
-    """(key, distance): the segments (p0*, p1*) that meet a triangle (a*, b*, c*) of the same scene, and
-    how far from p0 the first hit is.
-
-    Triangles lie in the cells of a grid that is two to four times as wide as they are, a power of two,
-    so in at most eight; segments are cut into pieces no longer than a cell, once for each width that their
-    scene has.  Cells are joined by equality, and Möller-Trumbore runs over plain columns.  A piece and
-    a triangle that share several cells meet in the first of them alone.
-    """
-    p0, p1 = ([F.col(f"p{i}{c}") for c in "xyz"] for i in (0, 1))
-    names = [f"{v}{c}" for v in "abc" for c in "xyz"]
-    tri = triangles.select(*on, *[F.col(n).cast("double").alias(n) for n in names]).dropna()
-    tri = tri.withColumns({f"{m}{c}": f(*[f"{v}{c}" for v in "abc"]) for c in "xyz" for m, f in (("_min", F.least), ("_max", F.greatest))})
-    extent = F.greatest(*[F.col(f"_max{c}") - F.col(f"_min{c}") for c in "xyz"], F.lit(1e-6))
-    tri = tri.withColumn("_width", F.pow(F.lit(2.0), F.ceil(F.log2(extent)) + 1))
-    widths = tri.select(*on, "_width").distinct()
-
-    def spread(df: DataFrame, prefix: str, most: int) -> DataFrame:
-        """A row for each cell of the box _min.. to _max.., which is at most `most` cells wide."""
-        at = {f"{prefix}{c}": F.floor(F.col(f"_min{c}") / F.col("_width")) for c in "xyz"}
-        offsets = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", o, strict=True)]) for o in itertools.product(range(most), repeat=3)])
-        df = df.withColumns(at).withColumn("_o", F.explode(offsets))
-        df = df.withColumns({f"_c{c}": F.col(f"{prefix}{c}") + F.col("_o")[c] for c in "xyz"})
-        df = df.filter(" and ".join(f"_c{c} <= floor(_max{c} / _width)" for c in "xyz")).drop("_o")
-        return df.withColumnsRenamed({f"{m}{c}": f"{prefix}{m}{c}" for m in ("_min", "_max") for c in "xyz"})
-
-    tri = spread(tri, "_t", 2)
-    seg = segments.select(*on, *key, *[F.col(f"p{i}{c}").cast("double").alias(f"p{i}{c}") for i in (0, 1) for c in "xyz"]).withColumn("_len", angles.distance(p0, p1)).filter("_len > 1e-12").join(widths, on)
-    seg = seg.withColumn("_n", F.greatest(F.ceil(F.col("_len") / F.col("_width")), F.lit(1)))
-    seg = seg.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    slack = 1e-6
-    for c in "xyz":
-        ends = [F.col(f"p0{c}") + (F.col(f"p1{c}") - F.col(f"p0{c}")) * ((F.col("_i") + k) / F.col("_n")) for k in (0, 1)]
-        seg = seg.withColumns({f"_min{c}": F.least(*ends) - slack, f"_max{c}": F.greatest(*ends) + slack})
-    # Many tasks share the work, even where a few segments make few rows.
-    tasks = int(seg.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = spread(seg, "_s", 3).repartition(tasks, *key, "_i").join(tri, [*on, "_width", "_cx", "_cy", "_cz"])
-    both = both.filter(reduce(Column.__and__, [F.col(f"_c{c}") == F.greatest(f"_s{c}", f"_t{c}") for c in "xyz"]))
-    # Of those in one cell, only a piece and a triangle whose boxes meet are measured.
-    both = both.filter(" and ".join(f"_s_min{c} <= _t_max{c} and _s_max{c} >= _t_min{c}" for c in "xyz"))
-    # One step after another, as a single expression would be too long for generated code.
-    vector = lambda name: [F.col(f"{name}{k}") for k in "xyz"]
-    columns = lambda name, values: {f"{name}{k}": v for k, v in zip("xyz", values, strict=True)}
-
-    def cross(u, v):
-        return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
-
-    def dot(u, v):
-        return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
-
-    def less(u, v):
-        return [x - y for x, y in zip(u, v, strict=True)]
-
-    a, b, c = (vector(v) for v in "abc")
-    both = both.withColumns(columns("_d", [x / F.col("_len") for x in less(p1, p0)]) | columns("_e", less(b, a)) | columns("_f", less(c, a)) | columns("_s", less(p0, a)))
-    both = both.withColumns(columns("_h", cross(vector("_d"), vector("_f"))) | columns("_q", cross(vector("_s"), vector("_e"))))
-    both = both.withColumn("_det", dot(vector("_e"), vector("_h"))).filter(F.abs("_det") > 1e-14)
-    both = both.withColumns({"_u": dot(vector("_s"), vector("_h")) / F.col("_det"), "_v": dot(vector("_d"), vector("_q")) / F.col("_det"), "_at": dot(vector("_f"), vector("_q")) / F.col("_det")})
-    inside = "_u >= 0 and _v >= 0 and _u + _v <= 1 and _at >= -1e-8D and _at <= _len + 1e-8D"
-    return both.filter(inside).groupBy(*key).agg(F.greatest(F.min("_at"), F.lit(0.0)).alias("distance"))
-
-
 def collisions(frames: DataFrame, triangles: DataFrame, key: str = "episode_index") -> DataFrame:
     """cr of each episode: 1 if a step of the predicted path meets its scene's mesh, 0 if none does,
     NaN if the scene has no mesh; error says so ("no mesh"), else it is null."""
-    hits = segment_hits(steps(frames, key), triangles, ["env_id"], [key, "frame_index"]).select(key).distinct().withColumn("_hit", F.lit(1.0))
+    hits = segment_hits(steps(frames, key), triangles, ["env_id"], [key], nearest=False).select(key, F.lit(1.0).alias("_hit"))
     scenes = triangles.select("env_id").distinct().withColumn("_mesh", F.lit(True))
     eps = frames.groupBy(key).agg(F.min("env_id").alias("env_id")).join(scenes, "env_id", "left").join(hits, key, "left")
     return eps.select(key, F.when(F.col("_mesh").isNull(), F.lit(math.nan)).otherwise(F.coalesce("_hit", F.lit(0.0))).alias("cr"), F.when(F.col("_mesh").isNull(), "no mesh").alias("error"))
