@@ -203,8 +203,7 @@ def eval_episode_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("eval_first_hit", with_views(FRAMES, MESH, HITS) + ", firsts as (select episode_index, round(min(greatest(st / det, 0e0)), 6) distance, count(*) n from m2 where abs(det) > 1e-14 and su / det >= 0 and sv / det >= 0 and su / det + sv / det <= 1 and st / det >= -1e-8 and st / det <= len + 1e-8 group by 1) select episode_index, distance from firsts")
 def eval_first_hit(spark: SparkSession, d: str) -> DataFrame:
     """How soon a step of an episode meets the mesh, the least over its steps."""
-    hits = evaluate.segment_hits(evaluate.steps(v_frames(spark, d)), scene_mesh(spark, d), ["env_id"], ["episode_index", "frame_index"])
-    return rounded(hits.groupBy("episode_index").agg(F.min("distance").alias("distance")))
+    return rounded(evaluate.segment_hits(evaluate.steps(v_frames(spark, d)), scene_mesh(spark, d), ["env_id"], ["episode_index"]))
 
 
 @query("eval_limited", with_views(FRAMES) + "select episode_index, count(*) n, round(sum(x), 6) sx from v_frames where frame_index < 40 and frame_index % 3 = 0 group by 1")
