@@ -26,6 +26,11 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
     media.write_files(spark.createDataFrame([(name, bytearray(content))], "path string, content binary"), root)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Small rows that make a file each, dealt to many tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def pose_files(spark: SparkSession, d: str) -> str:
     """A pose file for each scene; pose ids count on from track to track."""
     root = scratch_dir(spark, "poses")
@@ -248,7 +253,7 @@ def scan_images(spark: SparkSession, d: str) -> DataFrame:
     from skytrail.operators.metadata import frame_validity
 
     root = scratch_dir(spark, "images")
-    s = table(spark, d, "supplier").select("s_suppkey")
+    s = spread(table(spark, d, "supplier").select("s_suppkey"))
     samples = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i < F.col("s_suppkey") % 12, F.array(*[F.lit(0)] * 3)).otherwise(F.array(F.lit(0), F.lit(9), F.lit(200)))))
     metres = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i < F.col("s_suppkey") % 5, F.lit(float("nan"))).otherwise(i * 100.0 + 0.5))
     name = F.concat(F.lit("pose_"), F.col("s_suppkey").cast("string"), F.lit(".png"))
@@ -285,7 +290,7 @@ def present_scenes(spark: SparkSession, d: str) -> DataFrame:
 def file_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Files that were mirrored to another folder, without those of a format that is left out."""
     a, b = scratch_dir(spark, "assets"), scratch_dir(spark, "mirror")
-    s = table(spark, d, "supplier").select(F.concat(F.lit("d"), F.col("s_suppkey").cast("string"), F.when(F.expr("s_suppkey % 2 = 0"), "/note.txt").otherwise("/a.parquet")).alias("path"), F.concat("s_name", F.lit("ü")).cast("binary").alias("content"))
+    s = spread(table(spark, d, "supplier")).select(F.concat(F.lit("d"), F.col("s_suppkey").cast("string"), F.when(F.expr("s_suppkey % 2 = 0"), "/note.txt").otherwise("/a.parquet")).alias("path"), F.concat("s_name", F.lit("ü")).cast("binary").alias("content"))
     media.write_files(s, a)
     media.mirror(spark, a, b)
     return files.manifest(spark, b).select(F.regexp_extract("path", r"(d\d+/[^/]+)$", 1).alias("file"), "size_bytes", "sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -11,10 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skytrail.functions import text
+from skytrail.sources.reach import opened, tops, uri_of, walked
 
 FRAME = "state array<float>, actions array<float>, env_id string, episode_index long, frame_index long, index long, task_index long"
 
@@ -165,9 +168,28 @@ def newest(spark: SparkSession, root: str) -> str | None:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Path, size and SHA-256 of every file below a folder."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return f.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Path, size and SHA-256 of every file below a folder, but for hidden ones (. and _), as Spark's
+    readers leave them out.  Tasks walk the folder's own entries."""
+    uri = uri_of(spark, root)
+    if opened(uri) is None:
+        f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        return f.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, base = opened(uri)
+        for b in batches:
+            rows = []
+            for at in walked(here, base, b.column(0).to_pylist()):
+                if not any(part.startswith((".", "_")) for part in at.split("/")):
+                    digest, size = hashlib.sha256(), 0
+                    with here.open_input_stream(f"{base}/{at}") as f:
+                        while data := f.read(1 << 20):
+                            digest.update(data)
+                            size += len(data)
+                    rows.append((f"{uri}/{at}", size, digest.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["path", "size_bytes", "sha256"])
+
+    return tops(spark, uri).mapInArrow(run, "path string, size_bytes long, sha256 string")
 
 
 def image_size(content: F.Column) -> F.Column:

@@ -5,14 +5,18 @@ from __future__ import annotations
 import io
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
 from skytrail.sources.files import children
+from skytrail.sources.reach import opened, store, tops, uri_of, walked
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the PNG format
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}  # fixed values: samples a pixel by colour type
@@ -157,21 +161,57 @@ def rollout_files(frames: DataFrame, key: str, path: Column) -> DataFrame:
 
 
 def write_files(df: DataFrame, root: str) -> None:
-    """Writes (path, content) rows below a folder, one at a time through the driver; of small files."""
+    """Writes (path, content) rows below a folder that executors share: small files, each by the task that
+    has its row.  Where Python cannot reach the file system they go one at a time through the driver."""
     spark = df.sparkSession
-    conf = spark._jsc.hadoopConfiguration()
-    for r in df.select("path", "content").toLocalIterator():
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r.path}")
-        out = p.getFileSystem(conf).create(p, True)
-        try:
-            out.write(bytearray(r.content))
-        finally:
-            out.close()
+    df, uri = df.select("path", "content"), uri_of(spark, root)
+    if opened(uri) is None:
+        conf = spark._jsc.hadoopConfiguration()
+        for r in df.toLocalIterator():
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{r.path}")
+            out = p.getFileSystem(conf).create(p, True)
+            try:
+                out.write(bytearray(r.content))
+            finally:
+                out.close()
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, base = opened(uri)
+        for b in batches:
+            for path, content in zip(b.column(0), b.column(1), strict=True):
+                if not (path.is_valid and content.is_valid):
+                    raise ValueError(f"{path}: a file needs a path and content")
+                store(to, f"{base}/{path.as_py()}", content.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    df.mapInArrow(run, "n long").write.format("noop").mode("overwrite").save()
 
 
 def mirror(spark: SparkSession, source: str, target: str, skip: tuple[str, ...] = (".parquet",)) -> list[str]:
     """Copies what lies below a folder to the same places below another, but for names with the endings
-    to skip; files that are there stay.  The copied paths, by name."""
+    to skip; files that are there stay.  The copied paths, by name.  What lies in the folder itself is
+    listed by the driver, and each of it is walked and copied by a task."""
+    uris = [uri_of(spark, p) for p in (source, target)]
+    if any(opened(u) is None for u in uris):
+        return mirror_by_driver(spark, source, target, skip)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (here, base), (there, to) = (opened(u) for u in uris)
+        for b in batches:
+            copied = []
+            for at in walked(here, base, b.column(0).to_pylist()):
+                if not at.endswith(skip) and there.get_file_info(f"{to}/{at}").type == fs.FileType.NotFound:
+                    with here.open_input_stream(f"{base}/{at}") as f:
+                        store(there, f"{to}/{at}", f)
+                    copied.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(copied, pa.string())], names=["path"])
+
+    return sorted(r.path for r in tops(spark, uris[0]).mapInArrow(run, "path string").collect())
+
+
+def mirror_by_driver(spark: SparkSession, source: str, target: str, skip: tuple[str, ...]) -> list[str]:
+    """mirror() one file at a time, for file systems that Python cannot reach."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     copied: list[str] = []
@@ -183,9 +223,9 @@ def mirror(spark: SparkSession, source: str, target: str, skip: tuple[str, ...]
                 walk(at)
             elif not name.endswith(skip):
                 src, dst = path(f"{source}{at}"), path(f"{target}{at}")
-                fs = dst.getFileSystem(conf)
-                if not fs.exists(dst):
-                    jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, fs, dst, False, conf)
+                to = dst.getFileSystem(conf)
+                if not to.exists(dst):
+                    jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, to, dst, False, conf)
                     copied.append(at[1:])
 
     walk("")

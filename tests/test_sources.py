@@ -1,3 +1,4 @@
+import hashlib
 import io
 import struct
 import zipfile
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 
 from skytrail.operators import generators
-from skytrail.sources import files, mesh, sinks, text
+from skytrail.sources import files, media, mesh, sinks, text
 
 
 def put(path, content):
@@ -133,3 +134,24 @@ def test_episode_files(spark, tmp_path):
     assert len(list((tmp_path / "d").rglob("*.parquet"))) == 1
     with pytest.raises(Exception, match="already exists"):
         sinks.write_episodes(f, str(tmp_path / "d"))
+
+
+def test_files_are_written_mirrored_and_listed_by_tasks(spark, tmp_path, monkeypatch):
+    """Many small files, without a call of the driver for each; nested, of any name, over ones that Hadoop wrote."""
+    root, to = str(tmp_path / "a b"), str(tmp_path / "mirror")
+    sinks.write_lines(spark, f"{root}/d1/x.txt", spark.createDataFrame([("old",)], "value string"))
+    rows = [(f"d{i}/sub/größe {i}.txt" if i % 3 else f"d{i}/x.txt", f"text {i}".encode()) for i in range(40)] + [("d1/x.txt", b"new"), ("top.parquet", b"p"), ("d5/_hidden", b"h")]
+    df = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary").repartition(3)
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda *a, **k: pytest.fail("rows go through the driver"))
+    media.write_files(df, root)
+    monkeypatch.undo()
+    assert {str(p.relative_to(root)): p.read_bytes() for p in (tmp_path / "a b").rglob("*") if p.is_file()} == dict(rows)
+    assert spark.read.text(f"{root}/d1/x.txt").first()[0] == "new"
+    put(tmp_path / "mirror" / "d2" / "sub" / "größe 2.txt", "stays")
+    copied = media.mirror(spark, root, to)
+    assert copied == sorted(p for p, _ in rows if p not in ("top.parquet", "d2/sub/größe 2.txt"))
+    want = {p: hashlib.sha256(b"stays" if p == "d2/sub/größe 2.txt" else c).hexdigest() for p, c in rows if p not in ("top.parquet", "d5/_hidden")}
+    assert {r.path.split("/mirror/")[1]: r.sha256 for r in files.manifest(spark, to).collect()} == want
+    with pytest.raises(Exception, match="path and content"):
+        media.write_files(spark.createDataFrame([("a", None)], "path string, content binary"), root)
+    assert media.mirror(spark, str(tmp_path / "none"), to) == []
