@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,42 +83,71 @@ def progress(frames: DataFrame, key: str = "episode_index") -> DataFrame:
 
 
 def soft_dtw(truth: np.ndarray, pred: np.ndarray, yaw_weight: float, gamma: float) -> float:
-    """Soft dynamic time warping of two (n, 4) state arrays, by anti-diagonals of the cost matrix.
+    """Soft dynamic time warping of two (n, 4) state arrays."""
+    return float(soft_dtw_many(truth[None], pred[None], yaw_weight, gamma)[0])
+
+
+def soft_dtw_many(truth: np.ndarray, pred: np.ndarray, yaw_weight: float, gamma: float) -> np.ndarray:
+    """Soft dynamic time warping of pairs of (pairs, n, 4) states, by anti-diagonals of the cost matrix.
 
     Cell (i, j) needs its left, upper and upper-left neighbours, which lie on the two diagonals
-    before, so a whole diagonal is one vector operation, and no more than three are held.
+    before, so a whole diagonal of all pairs is one vector operation, and no more than three are held.
     """
-    n, m = len(pred), len(truth)
+    (pairs, n), m = pred.shape[:2], truth.shape[1]
     if not n or not m:
-        return math.nan
+        return np.full(pairs, np.nan)
     # Diagonals are indexed by i, from 0 to n; outside the matrix they are infinite.
-    older, old = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
-    older[0] = 0.0
+    older, old = np.full((pairs, n + 1), np.inf), np.full((pairs, n + 1), np.inf)
+    older[:, 0] = 0.0
     for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        a, b, c = old[i], old[i - 1], older[i - 1]
+        lo, hi = max(1, d - m), min(n, d - 1) + 1
+        a, b, c = old[:, lo:hi], old[:, lo - 1 : hi - 1], older[:, lo - 1 : hi - 1]
         low = np.minimum(np.minimum(a, b), c)
         base = np.where(np.isfinite(low), low, 0.0)
         soft = base - gamma * np.log(np.exp((base - a) / gamma) + np.exp((base - b) / gamma) + np.exp((base - c) / gamma))
-        delta = pred[i - 1] - truth[d - i - 1]
-        delta[:, 3] = yaw_weight * (np.mod(delta[:, 3] + np.pi, 2 * np.pi) - np.pi)
-        new = np.full(n + 1, np.inf)
-        new[i] = np.sqrt(np.einsum("ij,ij->i", delta, delta)) + np.where(np.isfinite(low), soft, np.inf)
+        delta = pred[:, lo - 1 : hi - 1] - truth[:, d - hi : d - lo][:, ::-1]
+        delta[..., 3] = yaw_weight * (np.mod(delta[..., 3] + np.pi, 2 * np.pi) - np.pi)
+        new = np.full((pairs, n + 1), np.inf)
+        new[:, lo:hi] = np.sqrt(np.einsum("bij,bij->bi", delta, delta)) + np.where(np.isfinite(low), soft, np.inf)
         older, old = old, new
-    return float(old[n])
+    return old[:, n]
 
 
-def soft_dtw_scores(frames: DataFrame, yaw_weight: float = 0.1, gamma: float = 0.5, eta: float = 3.0, clip: bool = True, key: str = "episode_index") -> DataFrame:
-    """dtw and ndtw of each episode.  The recursion runs in an Arrow kernel, one episode a group."""
+DTW_VALUES = 1 << 16  # of a diagonal of the pairs that are warped together
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        truth = pdf[[*XYZ, "a"]].dropna().to_numpy(float)
-        pred = pdf[[*PXYZ, "pa"]].dropna().to_numpy(float)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "dtw": [soft_dtw(truth, pred, yaw_weight, gamma)], "num_gt": [len(truth)]})
 
-    cols = [key, "frame_index", *XYZ, *PXYZ, angles.state_angle("a").alias("a"), angles.state_angle("pa").alias("pa")]
-    out = frames.select(*cols).groupBy(key).applyInPandas(run, f"{key} long, dtw double, num_gt long")
+def soft_dtw_scores(frames: DataFrame, yaw_weight: float = 0.1, gamma: float = 0.5, eta: float = 3.0, clip: bool = True, key: str = "episode_index") -> DataFrame:
+    """dtw and ndtw of each episode.  The recursion runs in an Arrow kernel, over episodes of equal lengths at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for column in (batch.column(1), batch.column(2)):
+                flat = column.flatten()
+                values = np.column_stack([flat.field(c).to_numpy(zero_copy_only=False) for c in "xyza"])
+                sizes = column.value_lengths().to_numpy()
+                paths.append(np.split(values, np.cumsum(sizes)[:-1]))
+            shapes: dict[tuple[int, int], list[int]] = {}
+            for i, (t, p) in enumerate(zip(*paths, strict=True)):
+                shapes.setdefault((len(t), len(p)), []).append(i)
+            dtw = np.empty(batch.num_rows)
+            for (_, n), alike in shapes.items():
+                step = max(1, DTW_VALUES // (n + 1))
+                for k in range(0, len(alike), step):
+                    part = alike[k : k + step]
+                    dtw[part] = soft_dtw_many(*(np.stack([side[i] for i in part]) for side in paths), yaw_weight, gamma)
+            num = pa.array([len(t) for t in paths[0]], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dtw), num], names=[key, "dtw", "num_gt"])
+
+    def states(cols: list[str], angle: str) -> Column:
+        """The states of an episode in order, without those that lack a value."""
+        values = [F.col(c).cast("double") for c in cols] + [angles.state_angle(angle)]
+        whole = reduce(Column.__and__, [v.isNotNull() & ~F.isnan(v) for v in values])
+        return F.array_sort(F.collect_list(F.when(whole, F.struct("frame_index", *[v.alias(c) for v, c in zip(values, "xyza", strict=True)]))))
+
+    frames.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # paths can be long; it stays set, as the query runs later
+    out = frames.groupBy(key).agg(states(XYZ, "a").alias("_t"), states(PXYZ, "pa").alias("_p"))
+    out = out.mapInArrow(run, f"{key} long, dtw double, num_gt long")
     return out.withColumn("ndtw", angles.ndtw("dtw", "num_gt", eta, clip))
 
 

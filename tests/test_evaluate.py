@@ -76,3 +76,30 @@ def test_wrap(spark):
     for r in df.collect():
         assert r.w == pytest.approx((r.a + math.pi) % (2 * math.pi) - math.pi) and -math.pi <= r.w < math.pi
         assert r.r == (math.radians(r.a) if abs(r.a) > 3.5 * math.pi else r.a)
+
+
+def test_soft_dtw_of_many_episodes(spark, monkeypatch):
+    """Episodes of several lengths, unequal sides, gaps and none, warped together, against the plain recursion."""
+    seen, many = [0], evaluate.soft_dtw_many
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for e in range(60):
+        n, m = [(5, 5), (5, 3), (1, 4), (0, 3)][e % 4]
+        t, p = rng.normal(size=(m, 4)), rng.normal(size=(n, 4))
+        if e == 8:
+            t[1, 3] = np.nan
+        if e == 9:
+            p[2, 0] = np.nan
+        want[e] = plain_soft_dtw(t[~np.isnan(t).any(1)], p[~np.isnan(p).any(1)], 0.1, 0.5) if n else None
+        for i in range(5):
+            rows.append((e, i, *(map(float, t[i]) if i < m else [None] * 4), *(map(float, p[i]) if i < n else [None] * 4)))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows if isinstance(rows, list) else list(rows), "episode_index long, frame_index long, x double, y double, z double, a double, px double, py double, pz double, pa double")
+    got = {r.episode_index: r for r in evaluate.soft_dtw_scores(df).collect()}
+    assert set(got) == set(want) and got[8].num_gt == 4 and got[1].num_gt == 3
+    for e, v in want.items():
+        assert math.isnan(got[e].dtw) if v is None else got[e].dtw == pytest.approx(v, rel=1e-12)
+    t, p = rng.normal(size=(200, 50, 4)), rng.normal(size=(200, 40, 4))
+    monkeypatch.setattr(evaluate.np, "log", lambda x, f=np.log: (seen.__setitem__(0, seen[0] + 1), f(x))[1])
+    many(t, p, 0.1, 0.5)
+    assert seen[0] == 89  # one step a diagonal, not one for each episode's
