@@ -35,8 +35,8 @@ def pose_files(spark: SparkSession, d: str) -> str:
     """A pose file for each scene; pose ids count on from track to track."""
     root = scratch_dir(spark, "poses")
     p = v_track(spark, d).select("env_id", F.expr("traj_id * 100000 + pose_id").alias("pose_id"), "x", "y", "z", F.lit(180.0).alias("omega"), "phi", "kappa")
-    for env in ENVS:
-        sinks.write_lines(spark, f"{root}/{env}/traj_random.txt", sinks.pose_lines(p.filter(F.col("env_id") == env)), sinks.pose_header((1.0, 2.0, 3.0), INTRINSICS))
+    rows = p.orderBy("env_id", "pose_id").select("env_id", sinks.pose_line())
+    sinks.write_line_files(spark, root, "traj_random.txt", rows, "env_id", sinks.pose_header((1.0, 2.0, 3.0), INTRINSICS), ENVS)
     return root
 
 
