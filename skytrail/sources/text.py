@@ -11,25 +11,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skytrail.functions import angles
+from skytrail.sources.scratch import small
 
 SPACE = r"(?U)\s+"
+BLANKS = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))  # what SPACE takes
 
 
-def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line_no, line): trimmed, without blank lines and comments.
+def numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_no, line): every line, numbered from 0 within its file.
 
-    Each file is one row that is split, since a line's place in its file matters; such files hold one
-    scene's poses.
+    Files are read in splits.  A line's number is its place in its split and the lines of those before,
+    which a scan in the same plan counts, as splits may differ from one plan to the next.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    text = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
-    return raw.select("file", F.col("line_no").cast("long").alias("line_no"), text.alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "_at").agg(F.min("_i").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "_at", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_add"))
+    both = raw.join(small(splits, len(raw._jdf.inputFiles())), ["file", "_at"], "left")
+    number = F.when(F.col("_add").isNull(), F.raise_error(F.lit("the splits of a file changed while it was read")).cast("long")).otherwise(F.col("_i") + F.col("_add"))
+    return both.select("file", number.alias("line_no"), "line")
+
+
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_no, line): trimmed, without blank lines and comments."""
+    return numbered(spark, path).withColumn("line", F.btrim("line", F.lit(BLANKS))).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
 def headers(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line) of the comment lines."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
-    return raw.filter(F.trim("line").startswith("#"))
+    return numbered(spark, path).withColumn("line", F.regexp_replace("line", "\r$", "")).filter(F.trim("line").startswith("#"))
 
 
 def fields(df: DataFrame, n: int, strict: bool, rest: bool = True) -> DataFrame:
@@ -43,7 +54,7 @@ def fields(df: DataFrame, n: int, strict: bool, rest: bool = True) -> DataFrame:
 
 def env_of(file: Column) -> Column:
     """The folder that a scene's file lies in."""
-    return F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)
+    return F.substring_index(F.substring_index(file, "/", -2), "/", 1)
 
 
 def _f(i: int, kind: str) -> Column:
@@ -53,8 +64,9 @@ def _f(i: int, kind: str) -> Column:
 def read_poses(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """env_id, pose_id, x, y, z, omega, phi, kappa (degrees), line_no; of equal ids the last line counts."""
     p = fields(lines(spark, path), 7, strict, rest=False).select(env_of(F.col("file")).alias("env_id"), _f(0, "long").alias("pose_id"), *[_f(i, "double").alias(c) for i, c in enumerate(("x", "y", "z", "omega", "phi", "kappa"), 1)], "line_no")
-    row = F.struct(*[c for c in p.columns if c not in ("env_id", "pose_id")])
-    return p.groupBy("env_id", "pose_id").agg(F.max_by(row, "line_no").alias("r")).select("env_id", "pose_id", "r.*")
+    # Numbers one by one, which are aggregated by hashes; a struct would be sorted.
+    last = [F.max_by(c, "line_no").alias(c) for c in ("x", "y", "z", "omega", "phi", "kappa")]
+    return p.groupBy("env_id", "pose_id").agg(*last, F.max("line_no").alias("line_no"))
 
 
 def states(poses: DataFrame, task: str) -> DataFrame:

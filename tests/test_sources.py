@@ -155,3 +155,30 @@ def test_files_are_written_mirrored_and_listed_by_tasks(spark, tmp_path, monkeyp
     with pytest.raises(Exception, match="path and content"):
         media.write_files(spark.createDataFrame([("a", None)], "path string, content binary"), root)
     assert media.mirror(spark, str(tmp_path / "none"), to) == []
+
+
+def test_files_of_lines_are_read_in_splits_and_written_in_one_pass(spark, tmp_path, monkeypatch):
+    """Order and line numbers hold over the splits of a file; no row goes through the driver."""
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **k: pytest.fail("rows go through the driver"))
+    rows = spark.range(5000).selectExpr("concat('env ', id % 2) env_id", "id", "concat(id, ' ', repeat('x', cast(id % 7 as int))) value").repartition(7)
+    sinks.write_line_files(spark, str(tmp_path), "a.txt", rows.orderBy("env_id", "id").select("env_id", "value"), "env_id", "# head\n", ["env 1", "env 2"])
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["env 0", "env 1", "env 2"]
+    for k in (0, 1):
+        assert (tmp_path / f"env {k}" / "a.txt").read_text() == "# head\n\n" + "".join(f"{i} {'x' * (i % 7)}\n" for i in range(k, 5000, 2))
+    assert (tmp_path / "env 2" / "a.txt").read_text() == "# head\n\n"
+    sinks.write_lines(spark, str(tmp_path / "one.txt"), rows.orderBy("id").select("value"), "h")
+    assert (tmp_path / "one.txt").read_text() == "h\n" + "".join(f"{i} {'x' * (i % 7)}\n" for i in range(5000))
+    put(tmp_path / "two.txt", "  1 a\r\n\r\n#  c\r\n2 b \r\n\n3 d")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        got = text.lines(spark, [str(tmp_path / n) for n in ("one.txt", "two.txt", "env 1/a.txt")])
+        assert got.rdd.getNumPartitions() > 20
+        got = {(r.file.rsplit("/", 1)[1], r.line_no): r.line for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {("one.txt", i + 1): f"{i} {'x' * (i % 7)}".strip() for i in range(5000)} | {("one.txt", 0): "h"}
+    want |= {("two.txt", 0): "1 a", ("two.txt", 3): "2 b", ("two.txt", 5): "3 d"}
+    want |= {("a.txt", i // 2 + 2): f"{i} {'x' * (i % 7)}".strip() for i in range(1, 5000, 2)}
+    assert got == want
+    assert [r.line for r in text.headers(spark, str(tmp_path / "two.txt")).collect()] == ["#  c"]
