@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import hashlib
 import io
 import json
@@ -192,6 +193,33 @@ def manifest(spark: SparkSession, root: str) -> DataFrame:
     return tops(spark, uri).mapInArrow(run, "path string, size_bytes long, sha256 string")
 
 
+def contents(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, content) of the files below a folder whose names match, but for hidden ones.  The driver lists
+    the folder's own entries, and each task reads its share of them; patterns of folders go to Spark's reader."""
+    uri = uri_of(spark, path) if isinstance(path, str) and not set(path) & set("*?[{") else None
+    if uri is None or opened(uri) is None:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, base = opened(uri)
+        batch = lambda paths, data: pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(data, pa.binary())], names=["path", "content"])
+        paths, data, held = [], [], 0
+        for b in batches:
+            for at in walked(here, base, b.column(0).to_pylist()):
+                if fnmatch.fnmatchcase(at.rsplit("/", 1)[-1], glob) and not any(part.startswith((".", "_")) for part in at.split("/")):
+                    with here.open_input_stream(f"{base}/{at}") as f:
+                        data.append(f.read())
+                    paths.append(f"{uri}/{at}")
+                    held += len(data[-1])
+                    if len(paths) == 1000 or held > 8 << 20:
+                        yield batch(paths, data)
+                        paths, data, held = [], [], 0
+        if paths:
+            yield batch(paths, data)
+
+    return tops(spark, uri).mapInArrow(run, "path string, content binary")
+
+
 def image_size(content: F.Column) -> F.Column:
     """(width, height) of PNG bytes from their header; null for other formats."""
     png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
@@ -201,5 +229,5 @@ def image_size(content: F.Column) -> F.Column:
 
 def read_images(spark: SparkSession, path: str, glob: str = "*.png") -> DataFrame:
     """path, pose_id (the digits of the name), content and size; decoding is left to the caller."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    f = contents(spark, path, glob)
     return f.select("path", F.regexp_extract("path", r"(\d+)[^/]*$", 1).try_cast("long").alias("pose_id"), "content", image_size(F.col("content")).alias("size"))

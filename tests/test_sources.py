@@ -182,3 +182,16 @@ def test_files_of_lines_are_read_in_splits_and_written_in_one_pass(spark, tmp_pa
     want |= {("a.txt", i // 2 + 2): f"{i} {'x' * (i % 7)}".strip() for i in range(1, 5000, 2)}
     assert got == want
     assert [r.line for r in text.headers(spark, str(tmp_path / "two.txt")).collect()] == ["#  c"]
+
+
+def test_images_are_read_by_few_tasks(spark, tmp_path):
+    """Not a task for every few files; nested ones count, other names and hidden ones do not."""
+    png = media.encode_png(np.zeros((2, 3, 3), np.uint8))
+    for n in [f"pose_{i}.png" for i in range(300)] + ["sub/pose_300.png", "a.txt", "_x.png"]:
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_bytes(png)
+    got = files.read_images(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= 4
+    rows = got.collect()
+    assert sorted(r.pose_id for r in rows) == list(range(301)) and all(bytes(r.content) == png and r["size"].width == 3 for r in rows)
+    assert files.read_images(spark, f"{tmp_path}/s*").count() == 1
