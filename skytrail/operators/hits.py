@@ -16,6 +16,7 @@ from skytrail.functions import angles
 from skytrail.sources.scratch import small, written
 
 TRIANGLES, SEGMENTS = 16384, 1024  # rows of a block
+FRONT = 1024  # triangles, about, of the whole mesh that paths meet before they are packed
 TILE = 256  # triangles and segments that are compared at a time
 SLACK = 1e-6  # boxes are wider by this
 BOX = [f"{m}{c}" for m in ("lo", "hi") for c in "xyz"]
@@ -91,9 +92,19 @@ class Block:
             np.minimum.at(self.best, self.g[r[ok]], at[ok] if self.nearest else 0.0)
 
 
-def packed(df: DataFrame, on: list[str], key: list[str], cols: list[str], rows: int) -> DataFrame:
+def numbered(t: pa.Table, key: list[str]) -> tuple[np.ndarray, pa.StructArray]:
+    """The distinct keys of a table, and for each row its key's place among them."""
+    g = t.select(key).to_pandas().groupby(key, sort=False, dropna=False).ngroup().to_numpy()
+    first = pa.array(np.unique(g, return_index=True)[1])
+    return g, pa.StructArray.from_arrays([t.column(k).combine_chunks().take(first) for k in key], names=key)
+
+
+def packed(df: DataFrame, on: list[str], key: list[str], cols: list[str], rows: int, front: dict[tuple, np.ndarray] | None = None) -> DataFrame:
     """Blocks of up to `rows` rows of a scene, in their order within a partition: on, _id, the box, the
-    columns as doubles in `_data`, and, with a key, its values in `_keys` and each row's place there in `_g`."""
+    columns as doubles in `_data`, and, with a key, its values in `_keys` and each row's place there in `_g`.
+
+    Segments whose keys meet a triangle of their scene's `front` are left out; those keys come in blocks
+    of their own, without rows and box."""
     schema = StructType(df.select(*on).schema.fields).add("_id", "long")
     for c in BOX:
         schema = schema.add(c, "double")
@@ -113,16 +124,33 @@ def packed(df: DataFrame, on: list[str], key: list[str], cols: list[str], rows:
             out += [pa.array([float(v)]) for v in (*points.min(0), *points.max(0))] + [pa.array([data.tobytes()], pa.binary())]
             made += 1
             if key:
-                g = t.select(key).to_pandas().groupby(key, sort=False, dropna=False).ngroup().to_numpy()
-                first = pa.array(np.unique(g, return_index=True)[1])
-                keys = pa.StructArray.from_arrays([t.column(k).combine_chunks().take(first) for k in key], names=key)
+                g, keys = numbered(t, key)
                 out += [pa.array([g.astype(np.int32).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
             return pa.RecordBatch.from_arrays(out, names=schema.names)
 
+        def met(part: pa.RecordBatch, tri: np.ndarray) -> tuple[pa.RecordBatch, pa.RecordBatch]:
+            """The segments of keys that do not meet the triangles, and the block of those that do."""
+            nonlocal made
+            g, keys = numbered(pa.Table.from_batches([part]), key)
+            block = Block(np.column_stack([part.column(c).to_numpy() for c in cols]), g, len(keys), nearest=False)
+            block.meet(tri)
+            done = np.isfinite(block.best)
+            keys = keys.take(pa.array(np.flatnonzero(done)))
+            out = [part.column(c).slice(0, 1) for c in on] + [pa.array([made])] + [pa.array([None], pa.float64())] * len(BOX)
+            out += [pa.array([b""], pa.binary())] * 2 + [pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)]
+            made += 1
+            return part.filter(pa.array(~done[g])), pa.RecordBatch.from_arrays(out, names=schema.names)
+
         for batch in batches:
             for scene, at in batch.select(on).to_pandas().groupby(on, sort=False).indices.items():
                 scene = scene if isinstance(scene, tuple) else (scene,)
-                held.setdefault(scene, []).append(batch.take(pa.array(at)))
+                part = batch.take(pa.array(at))
+                if front and scene in front:
+                    part, done = met(part, front[scene])
+                    yield done
+                    if not part.num_rows:
+                        continue
+                held.setdefault(scene, []).append(part)
                 if sum(b.num_rows for b in held[scene]) >= rows:
                     t = pa.Table.from_batches(held.pop(scene))
                     for i in range(0, t.num_rows, rows):
@@ -139,7 +167,8 @@ def packed(df: DataFrame, on: list[str], key: list[str], cols: list[str], rows:
 
 def searched(key: StructType, nearest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The kernel over pairs of blocks: the keys that meet a triangle, and the least distance.  Pairs of
-    one block of segments that follow one another share what was found."""
+    one block of segments that follow one another share what was found.  A block without segments has
+    keys that are done, and a block without triangles meets none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, block, keys = None, None, None
@@ -158,7 +187,10 @@ def searched(key: StructType, nearest: bool) -> Callable[[Iterator[pa.RecordBatc
                         yield result()
                     now, keys = ids[i].as_py(), lists[i].values
                     block = Block(np.frombuffer(ends[i].as_buffer()).reshape(-1, 6), np.frombuffer(g[i].as_buffer(), np.int32), len(keys), nearest)
-                block.meet(np.frombuffer(data[i].as_buffer()).reshape(-1, 9))
+                    if not len(block.p):
+                        block.best[:] = 0.0
+                if data[i].is_valid:
+                    block.meet(np.frombuffer(data[i].as_buffer()).reshape(-1, 9))
         if block is not None:
             yield result()
 
@@ -172,6 +204,8 @@ def segment_hits(segments: DataFrame, triangles: DataFrame, on: list[str], key:
     Both sides are packed in blocks, triangles by a curve that fills space.  Blocks of a scene are joined
     where their boxes meet, and a kernel goes through a pair tile by tile: boxes first, then the distance
     of each triangle's plane, then Möller-Trumbore.  Blocks of triangles are broadcast if there are few.
+    Without `nearest`, paths meet some triangles of all parts of a large mesh first, and those that hit one
+    are done; all others meet the whole mesh.
     """
     spark = segments.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # blocks are large rows; it stays set, as the query runs later
@@ -184,20 +218,29 @@ def segment_hits(segments: DataFrame, triangles: DataFrame, on: list[str], key:
         if whole.n and hi > lo:
             q = ((F.col(c) - lo) * (1023 / (hi - lo))).cast("long")
             bits += [F.shiftleft(F.shiftright(q, b).bitwiseAND(F.lit(1)), 3 * b + axis) for b in range(10)]
+    front = None
+    if not nearest and (whole.n or 0) > TRIANGLES:
+        front = {}
+        for row in tri.filter(F.rand(0) < FRONT / whole.n).collect():
+            front.setdefault(tuple(row[: len(on)]), []).append(row[len(on) :])
+        front = {scene: np.array(rows) for scene, rows in front.items()}
     tri = tri.withColumn("_curve", reduce(Column.__add__, bits, F.lit(0).cast("long"))).repartitionByRange(max(1, min(tasks, (whole.n or 0) // TRIANGLES)), *on, "_curve").sortWithinPartitions(*on, "_curve")
     tri = packed(tri, on, [], CORNERS, TRIANGLES).withColumnsRenamed({c: f"_{c}" for c in BOX} | {"_id": "_tid", "_data": "_tri"})
 
     p0, p1 = ([F.col(f"p{i}{c}") for c in "xyz"] for i in (0, 1))
     seg = segments.select(*on, *[k for k in key if k not in on], *[F.col(c).cast("double").alias(c) for c in ENDS]).withColumn("_len", angles.distance(p0, p1)).filter("_len > 1e-12 and not isnan(_len)")
     # Many tasks share the work, even where there are few blocks.
-    seg = packed(seg, on, key, ENDS, SEGMENTS).repartition(tasks, "_id")
+    seg = packed(seg, on, key, ENDS, SEGMENTS, front).repartition(tasks, "_id")
     meet = reduce(Column.__and__, [(F.col(f"lo{c}") - 2 * SLACK <= F.col(f"_hi{c}")) & (F.col(f"hi{c}") + 2 * SLACK >= F.col(f"_lo{c}")) for c in "xyz"])
     schema = StructType(segments.select(*key).schema.fields)
     if small(tri, whole.n) is not tri:
-        pairs = seg.join(small(tri, whole.n), on).filter(meet)
+        same = reduce(Column.__and__, [seg[c] == tri[c] for c in on])
+        pairs = seg.join(small(tri, whole.n), same & meet, "left" if front else "inner")
     else:
         seg, tri = written(seg, "segments"), written(tri, "triangles")  # their ids hold for one computation
         boxes = seg.select(*on, "_id", *BOX).join(tri.select(*on, "_tid", *[f"_{c}" for c in BOX]), on).filter(meet).select("_id", "_tid")
         pairs = boxes.join(seg.select("_id", "_data", "_g", "_keys"), "_id").join(tri.select("_tid", "_tri"), "_tid")
+        if front:
+            pairs = pairs.drop("_tid").unionByName(seg.filter(F.length("_data") == 0).select("_id", "_data", "_g", "_keys", F.lit(None).cast("binary").alias("_tri")))
     hits = pairs.select("_id", "_tri", "_data", "_g", "_keys").mapInArrow(searched(schema, nearest), StructType(schema.fields).add("distance", "double"))
     return hits.groupBy(*key).agg(F.min("distance").alias("distance"))

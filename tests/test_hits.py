@@ -67,3 +67,33 @@ def test_few_pairs_of_a_dense_mesh_reach_the_exact_test(monkeypatch):
         seen[0] = 0
         hits.Block(np.concatenate([p, p + rng.normal(size=p.shape) * 0.3], axis=1), (np.arange(980) // 49).astype(np.int32), 20, nearest).meet(tri)
         assert 0 < seen[0] < 980 * 8000 / 50
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+@pytest.mark.parametrize("front", [1, 1000, 10**9])
+def test_a_front_of_any_size_settles_no_path_wrongly(spark, monkeypatch, front, shuffled):
+    """None, some or all of the mesh goes first: the paths that hit are the same."""
+    monkeypatch.setattr(hits, "TRIANGLES", 300)
+    monkeypatch.setattr(hits, "SEGMENTS", 64)
+    monkeypatch.setattr(hits, "FRONT", front)
+    if shuffled:
+        monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(5)
+    tri = {e: soup(rng, 1500, 10.0, 0.3, 0.0) for e in "ab"}
+    seg = {e: np.concatenate([p := rng.uniform(0, 10, (400, 3)), p + rng.normal(size=(400, 3)) * 0.5], axis=1) for e in "abc"}
+    t = spark.createDataFrame([(e, *map(float, r)) for e in tri for r in tri[e]], TRI)
+    s = spark.createDataFrame([(e, f"{e}{i // 4}" if i < 396 else None, *map(float, r)) for e in seg for i, r in enumerate(seg[e])], SEG)
+    want = {f"{e}{i // 4}" if i < 396 else None for e in tri for i in np.flatnonzero(np.isfinite(brute(seg[e], tri[e])))}
+    got = [r.k for r in hits.segment_hits(s, t, ["env_id"], ["k"], nearest=False).collect()]
+    assert 10 < len(want) < 190 and len(got) == len(want) and set(got) == want
+
+
+def test_paths_that_hit_the_front_are_not_packed(spark):
+    """Only the others travel to the rest of the mesh."""
+    wall = np.array([[0.5, -9.0, -9.0, 0.5, 9.0, -9.0, 0.5, 0.0, 9.0]])
+    rows = [(e, f"{e}{k}", float(k % 2), 0.0, 0.0, k % 2 + 0.9, 0.0, 0.0) for e in "ab" for k in range(10)]
+    blocks = hits.packed(spark.createDataFrame(rows, SEG).coalesce(1), ["env_id"], ["k"], hits.ENDS, 64, {("a",): wall}).collect()
+    assert {k.k for b in blocks if not b._data for k in b._keys} == {f"a{k}" for k in range(0, 10, 2)}
+    left = [b for b in blocks if b._data]
+    assert {k.k for b in left for k in b._keys} == {f"a{k}" for k in range(1, 10, 2)} | {f"b{k}" for k in range(10)}
+    assert sum(len(b._data) for b in left) == 15 * 48 and len({b._id for b in blocks}) == len(blocks)
