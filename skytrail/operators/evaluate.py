@@ -31,6 +31,16 @@ def path_length(frames: DataFrame, key: str = "episode_index", cols: list[str] =
     return steps.groupBy(key).agg(F.coalesce(F.sum("_d"), F.lit(math.nan)).alias(out))
 
 
+def lengths(frames: DataFrame, key: str = "episode_index") -> DataFrame:
+    """gt_length, pred_length and end_distance as path_length and end_distance give them, in one shuffle."""
+    w = Window.partitionBy(key).orderBy("frame_index")
+    step = lambda cols: angles.distance([F.col(c) for c in cols], [F.lag(c).over(w) for c in cols])
+    out = frames.select(key, "frame_index", *XYZ, *PXYZ, step(XYZ).alias("_g"), step(PXYZ).alias("_p")).groupBy(key)
+    last = [F.max_by(c, "frame_index").alias(f"_last_{c}") for c in XYZ + PXYZ]
+    out = out.agg(*[F.coalesce(F.sum(d), F.lit(math.nan)).alias(n) for d, n in (("_g", "gt_length"), ("_p", "pred_length"))], *last)
+    return out.select(key, "gt_length", "pred_length", angles.distance([F.col(f"_last_{c}") for c in XYZ], [F.col(f"_last_{c}") for c in PXYZ]).alias("end_distance"))
+
+
 def nearest(frames: DataFrame, key: str = "episode_index") -> DataFrame:
     """Squared distance of each true frame to the nearest predicted one of its episode.
 

@@ -161,9 +161,9 @@ SCORES = """scores as (
 @query("eval_efficiency", with_views(FRAMES, MESH, HITS, LENGTHS, ENDS, NEAR, TCR, PROGRESS, SCORES) + "select episode_index, round(sr * ratio, 6) spl, case when not isnan(cr) then round(sr * ratio * (1 - cr), 6) end cspl from scores")
 def eval_efficiency(spark: SparkSession, d: str) -> DataFrame:
     f = v_frames(spark, d)
-    parts = evaluate.path_length(f, out="g").join(evaluate.path_length(f, cols=evaluate.PXYZ, out="p"), "episode_index").join(evaluate.end_distance(f), "episode_index").join(evaluate.collisions(f, scene_mesh(spark, d)), "episode_index")
-    parts = parts.withColumn("sr", angles.success("end_distance", RADIUS))
-    return parts.select("episode_index", F.round(angles.spl("sr", "g", "p"), 6).alias("spl"), F.round(angles.finite(angles.spl("sr", "g", "p", "cr")), 6).alias("cspl"))
+    parts = evaluate.lengths(f).join(evaluate.collisions(f, scene_mesh(spark, d)), "episode_index").withColumn("sr", angles.success("end_distance", RADIUS))
+    lengths = "sr", "gt_length", "pred_length"
+    return parts.select("episode_index", F.round(angles.spl(*lengths), 6).alias("spl"), F.round(angles.finite(angles.spl(*lengths, "cr")), 6).alias("cspl"))
 
 
 _SUMMARY = ", ".join(f"round(avg({e}) filter (not isnan({e})), 6) {n}" for n, e in (("avg_tcr", "avg_tcr"), ("nsp", "nsp"), ("sr", "sr"), ("cr", "cr"), ("spl", "sr * ratio"), ("cspl", "sr * ratio * (1 - cr)")))

@@ -103,3 +103,16 @@ def test_soft_dtw_of_many_episodes(spark, monkeypatch):
     monkeypatch.setattr(evaluate.np, "log", lambda x, f=np.log: (seen.__setitem__(0, seen[0] + 1), f(x))[1])
     many(t, p, 0.1, 0.5)
     assert seen[0] == 89  # one step a diagonal, not one for each episode's
+
+
+def test_lengths_in_one_shuffle(spark):
+    """They are what the single operators give, for a path of one frame, one that ends early and one with gaps."""
+    f = frames(spark, [(0.0, 0.0, 0.0, 0.0), (3.0, 4.0, 0.0, 0.0), (3.0, 4.0, 2.0, 0.0)], [(0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 0.0)])
+    one = frames(spark, [(1.0, 1.0, 1.0, 0.0)], [(1.0, 1.0, 3.0, 0.0)]).withColumn("episode_index", F.lit(1))
+    gaps = frames(spark, [(float(i * i), 0.0, 0.0, 0.0) for i in range(6)], [(0.0, float(i), 0.0, 0.0) for i in range(6)]).withColumn("episode_index", F.lit(2)).withColumn("x", F.when(F.col("frame_index") != 2, F.col("x")))
+    f = f.withColumn("episode_index", F.lit(0)).unionByName(one).unionByName(gaps)
+    want = evaluate.path_length(f, out="gt_length").join(evaluate.path_length(f, cols=evaluate.PXYZ, out="pred_length"), "episode_index").join(evaluate.end_distance(f), "episode_index")
+    got = evaluate.lengths(f)
+    read = lambda df: sorted(str(tuple(r)) for r in df.select("episode_index", "gt_length", "pred_length", "end_distance").collect())
+    assert read(got) == read(want) and got.filter("gt_length = 7").count() == 1
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
